@@ -89,7 +89,7 @@ _HAN_PLACE = re.compile(f"(?:{_H}{{2,3}}省)?(?:{_H}{{2,4}}市)?(?:{_H}{{2,3}}[
 _NUM_BACK = re.compile(r"(?:(?:flat|apt\.?|unit|suite) \w{1,5}, )?(?<![\w.\-])\d{1,5}[a-z]?(?: bis| ter)?,? (?:[^\W\d_][\w'’\-]*\.? ){0,2}$", re.I)
 _STREET_ON = re.compile(r"(?:\.(?=,|[ ][^\W\d_]+(?:[.,\n]|\s{2}|$| \d{5}\b(?! \d))))?(?:, (?:flat|apt\.?|unit|suite) \w{1,5})?(?:,? (?!(?:on|last|when|next|after|at|in|and|the|is|was)\b)[^\W\d_]+|\n ?[^\W\d_]+(?=\s*\n|\.| \d{5}))?(?: \d{4,5}(?![\d-]))?", re.I)
 # a street word with its name after it, and the number on either side
-_NAMED_ON = re.compile(r"(?:(?<=av)\.|(?<=bd)\.|(?<=blvd)\.|(?<=avda)\.)? ((?:de la|de los|de las|del|de|des|du|la|le|les|l'|d') ?)?([^\W\d_])[\w'’\-]*(?: [^\W\d_][\w\-]*)?(,? (?:nº |n° |n\.º )?\d{1,5}[a-z]?(?:,? \d{1,2}º \w)?)?(?:, \d{4,5} [^\W\d_]+)?", re.I)
+_NAMED_ON = re.compile(r"(?:(?<=av)\.|(?<=bd)\.|(?<=blvd)\.|(?<=avda)\.)? ((?:(?:de la|de los|de las|del|de|des|du|la|le|les) |de l'|l'|d'))?([^\W\d_])[\w'’\-]*(?: [^\W\d_][\w\-]*)?(,? (?:nº |n° |n\.º )?\d{1,5}[a-z]?(?:,? \d{1,2}º \w)?)?(?:, \d{4,5} [^\W\d_]+)?", re.I)
 _NUM_BEFORE = re.compile(r"(?<![\w.\-])\d{1,5}(?: bis| ter)?,? $", re.I)
 _HOUSE = re.compile(r"[^\W\d_] \d{1,3}[a-z]?\b(?:, \d{5} [^\W\d_]+)?", re.I)
 _ENDING = re.compile(r"\b[^\W\d_][\w\-]*(?:" + "|".join(STREET_ENDING) + ")$", re.I)
@@ -136,7 +136,7 @@ def spans(text: str, streets: list[tuple[int, int, bool]]) -> list[tuple[int, in
         if (m := _NAMED_ON.match(text, c.end())) and m.group(3):
             out.append((c.start(), m.end(), ADDRESS))
     for m in _HOUSE.finditer(text):
-        if text[m.start()] in "eEgGzZrRmM" and (lead := _ENDING.search(text, max(0, m.start() - 40), m.start() + 1)):
+        if text[m.start()] in "eEgGzZrRmM" and (lead := _ENDING.search(text, max(0, m.start() - 40), m.start() + 1)) and lead.group()[0].isupper():
             out.append((lead.start(), m.end(), ADDRESS))
     for m in _DIGITS.finditer(text):
         s, e = m.start(), m.end()
