@@ -31,6 +31,15 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def equals(word: str):
+    """A test of array elements for use in ``filter`` and ``exists``."""
+    return lambda x: x == F.lit(word)
+
+
+def holds(part: str):
+    return lambda x: F.lower(x).contains(part)
+
+
 def strip(c: Column | str) -> Column:
     return F.regexp_replace(col(c), f"^{SPACE}+|{SPACE}+$", "")
 

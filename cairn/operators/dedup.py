@@ -33,29 +33,53 @@ def similarity(method: str, a: Column, b: Column) -> Column:
 
 
 def matches(new: DataFrame, existing: DataFrame, threshold: float = 0.85, method: str = "cosine") -> DataFrame:
-    """(id, match_id, similarity): pairs of new and existing rows (id, text) at ``threshold`` or more.
+    """(id, match_id, similarity): pairs of new and existing rows (id, text) at ``threshold`` or more."""
+    a, b = _distinct(new), _distinct(existing)
+    pairs = class_matches(a, b, threshold, method)
+    left, right = _members(new), _members(existing)
+    out = pairs.join(left.select(F.col("digest"), "id"), "digest")
+    return out.join(right.select(F.col("digest").alias("match"), F.col("id").alias("match_id")), "match").select("id", "match_id", "similarity")
+
+
+def _members(df: DataFrame) -> DataFrame:
+    return df.where(F.col("text").isNotNull()).select("id", F.md5("text").alias("digest"))
 
-    Token methods meet only where they must: for jaccard on the prefix of the
-    rarest tokens that any pair at the threshold shares; for cosine on shared
-    tokens (all pairs at the threshold have one), the sums of products taken by
-    the join itself.  Edit similarity meets within length bands.
-    """
-    if method == "levenshtein":
-        return _by_length(new, existing, threshold)
-    a, b = _counts(new), _counts(existing)
-    if method == "jaccard":
-        a, b = a.withColumn("n", F.lit(1)), b.withColumn("n", F.lit(1))
-    size = (lambda d: F.sum("n")) if method == "jaccard" else (lambda d: F.sqrt(F.sum(F.col("n") * F.col("n"))))
-    na, nb = a.groupBy("id").agg(size(a).alias("na")), b.groupBy("id").agg(size(b).alias("nb"))
-    shared = a.select("id", "term", F.col("n").alias("x")).join(b.select(F.col("id").alias("match_id"), "term", F.col("n").alias("y")), "term")
-    sums = shared.groupBy("id", "match_id").agg(F.sum(F.col("x") * F.col("y")).alias("common"))
-    out = sums.join(na, "id").join(nb.withColumnRenamed("id", "match_id"), "match_id")
-    value = F.col("common") / (F.col("na") + F.col("nb") - F.col("common")) if method == "jaccard" else F.least(F.lit(1.0), F.col("common") / (F.col("na") * F.col("nb")))
-    return out.select("id", "match_id", value.alias("similarity")).where(F.col("similarity") >= threshold)
 
+def _distinct(df: DataFrame) -> DataFrame:
+    """(digest, text): each text once, so that copies never meet pairwise."""
+    return df.where(F.col("text").isNotNull()).groupBy(F.md5("text").alias("digest")).agg(F.first("text").alias("text"))
 
-def _counts(df: DataFrame) -> DataFrame:
-    return df.select("id", F.explode(tx.dedup_tokens("text")).alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
+
+def class_matches(a: DataFrame, b: DataFrame, threshold: float, method: str) -> DataFrame:
+    """(digest, match, similarity): pairs of distinct texts (digest, text) at ``threshold`` or more.
+
+    Token methods meet on prefixes of the rarest tokens.  Two sets at Jaccard t share
+    one of the |A| - ceil(t |A|) + 1 rarest of each; two count vectors at cosine t
+    share a token outside the commonest ones whose squares sum to under t squared of
+    the vector's own, since those alone could not make up the cosine.  Edit similarity
+    meets within bands of length.  Candidates are then measured exactly.
+    """
+    if method == "levenshtein":
+        return _by_length(a, b, threshold)
+    counts = lambda d: d.select("digest", F.explode(tx.dedup_tokens("text")).alias("term")).groupBy("digest", "term").agg(F.count("*").alias("n"))
+    ca, cb = counts(a), counts(b)
+    df = ca.select("term").unionByName(cb.select("term")).groupBy("term").agg(F.count("*").alias("df"))
+    pa, pb = _prefix(ca, df, threshold, method), _prefix(cb, df, threshold, method)
+    pairs = pa.join(pb.select(F.col("digest").alias("match"), "term"), "term").select("digest", "match").distinct()
+    both = pairs.join(a.select("digest", F.col("text").alias("_a")), "digest").join(b.select(F.col("digest").alias("match"), F.col("text").alias("_b")), "match")
+    return both.select("digest", "match", similarity(method, F.col("_a"), F.col("_b")).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+
+
+def _prefix(counts: DataFrame, df: DataFrame, threshold: float, method: str) -> DataFrame:
+    """(digest, term): the rarest tokens of each text that a pair at the threshold must share one of."""
+    weight = F.lit(1.0) if method == "jaccard" else (F.col("n") * F.col("n")).cast("double")
+    share = threshold if method == "jaccard" else threshold * threshold
+    parts = counts.join(df, "term").withColumn("w", weight)
+    rows = parts.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct(-F.col("df"), F.col("term"), F.col("w")))).alias("t"), F.sum("w").alias("all"))
+    # commonest first: leave out while the sum stays under the share that a pair needs
+    step = lambda acc, x: F.struct((acc["s"] + x["w"]).alias("s"), F.when(acc["s"] + x["w"] < share * F.col("all") - 1e-9, acc["k"] + 1).otherwise(acc["k"]).alias("k"))
+    left_out = F.aggregate("t", F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("k")), step)["k"]
+    return rows.select("digest", F.explode(F.slice("t", left_out + 1, F.size("t"))).alias("x")).select("digest", F.col("x.term").alias("term"))
 
 
 def _by_length(new: DataFrame, existing: DataFrame, threshold: float) -> DataFrame:
@@ -65,15 +89,15 @@ def _by_length(new: DataFrame, existing: DataFrame, threshold: float) -> DataFra
     step = -math.log(threshold) if 0 < threshold < 1 else 1e-6
     band = lambda c: F.floor(F.log(F.length(c).cast("double")) / step).cast("int")
     a = new.where(F.length("text") > 0).withColumn("_band", band("text"))
-    b = existing.where(F.length("text") > 0).select(F.col("id").alias("match_id"), F.col("text").alias("other"), F.explode(F.array(band("text") - 1, band("text"), band("text") + 1)).alias("_band"))
+    b = existing.where(F.length("text") > 0).select(F.col("digest").alias("match"), F.col("text").alias("other"), F.explode(F.array(band("text") - 1, band("text"), band("text") + 1)).alias("_band"))
     d = a.join(b, "_band").where(F.least(F.length("text"), F.length("other")) >= threshold * F.greatest(F.length("text"), F.length("other")))
-    return d.select("id", "match_id", sim.edit_similarity(F.col("text"), F.col("other")).alias("similarity")).where(F.col("similarity") >= threshold)
+    return d.select("digest", "match", sim.edit_similarity(F.col("text"), F.col("other")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def suggested_action(new: DataFrame, existing: DataFrame, method: str = "cosine") -> DataFrame:
     """(id, similarity, action): skip from 0.95, merge from 0.85, else save."""
-    best = matches(new, existing, 0.85, method).groupBy("id").agg(F.max("similarity").alias("similarity"))
-    d = new.select("id").distinct().join(best, "id", "left")
+    best = class_matches(_distinct(new), _distinct(existing), 0.85, method).groupBy("digest").agg(F.max("similarity").alias("similarity"))
+    d = new.select("id", F.md5("text").alias("digest")).distinct().join(best, "digest", "left")
     return d.select("id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.when(F.col("similarity") >= 0.95, "skip").when(F.col("similarity") >= 0.85, "merge").otherwise("save").alias("action"))
 
 

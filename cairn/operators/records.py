@@ -6,7 +6,7 @@ Mutations return the new state as a frame; writing it is the sources' part.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -76,11 +76,11 @@ def add_distinct(store: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame
     s = store.withColumn("_n", tx.normal_space("content")).withColumn("_k", key)
     n = new.withColumn("_n", tx.normal_space("content")).withColumn("_k", key)
     first = s.groupBy("_k", "_n").agg(F.min_by("id", F.struct("created_at", "id")).alias("_held"))
-    rank = Window.partitionBy("_k", "_n").orderBy("created_at", "id")
-    kept = n.withColumn("_r", F.row_number().over(rank)).withColumn("_first", F.first("id").over(rank))
-    joined = kept.join(first, ["_k", "_n"], "left")
+    # two aggregations with partial sums, no window: a content that many rows share stays cheap
+    newest = n.groupBy("_k", "_n").agg(F.min_by("id", F.struct("created_at", "id")).alias("_first"))
+    joined = n.join(newest.join(first, ["_k", "_n"], "left"), ["_k", "_n"])
     placed = joined.select(*new.columns, F.coalesce("_held", "_first").alias("held_by"))
-    return joined.where("_held is null and _r = 1").select(*new.columns), placed
+    return joined.where("_held is null and id = _first").select(*new.columns), placed
 
 
 def updated(store: DataFrame, changes: DataFrame, columns: list[str], as_of: Column) -> DataFrame:

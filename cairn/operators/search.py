@@ -60,7 +60,7 @@ def bm25(pool: DataFrame, text: Column, query: str) -> DataFrame:
         df = F.col("_df")[i]
         raw = F.log(F.col("_n") - df + 0.5) - F.log(df + 0.5)
         idf = F.when(df > 0, F.when(raw < 0, EPSILON * F.col("_mean")).otherwise(raw)).otherwise(0.0)
-        tf = F.size(F.filter("_tokens", lambda x, t=t: x == t))
+        tf = F.size(F.filter("_tokens", tx.equals(t)))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
     return joined.withColumn("score", score).drop("_tokens", "_len", "_n", "_avg", "_df", "_mean")
 
@@ -106,7 +106,7 @@ def keyword_score(pool: DataFrame, query: str, points: dict[str, int]) -> DataFr
     score = F.lit(0)
     for t in query_tokens(query):
         for field, n in points.items():
-            hit = F.exists("tags", lambda x, t=t: F.lower(x).contains(t)) if field == "tags" else F.lower(field).contains(t)
+            hit = F.exists("tags", tx.holds(t)) if field == "tags" else F.lower(field).contains(t)
             score = score + F.when(F.coalesce(hit, F.lit(False)), n).otherwise(0)
     return pool.withColumn("score", score)
 

@@ -45,19 +45,19 @@ def analysed(problems: DataFrame) -> DataFrame:
 def matched(problems: DataFrame, skills: DataFrame) -> DataFrame:
     """(problem_id, skill_id, relevance): the best skill (skill_id, text) of each problem by its share of keywords, from 0.40 on.
 
-    A skill of at least that share holds a keyword, so skills meet problems by the
-    single characters and words of their texts, not all by all.
+    A skill of at least that share holds a keyword, so skills meet problems by marks
+    that containment implies, not all by all: the first Han character of a keyword,
+    or its first three letters.
     """
     p = problems.select("problem_id", tx.match_keywords("problem").alias("keywords")).where(F.size("keywords") > 0)
     s = skills.select("skill_id", F.lower("text").alias("text"))
-    return _best(p, s, p.select("problem_id", F.explode("keywords").alias("token")), tx.search_tokens("text"))
-
-
-def _best(p: DataFrame, s: DataFrame, keys: DataFrame, tokens: Column) -> DataFrame:
-    # a keyword contained in a text begins inside one of its tokens: trigrams of tokens and keywords narrow the meeting; short ones meet by their first character
-    mark = lambda c: F.substring(c, 1, 1)
-    of_text = s.select("skill_id", F.explode(F.array_distinct(F.flatten(F.transform(tokens, lambda t: F.split(t, ""))))).alias("mark")).where("mark != ''")
-    counts = of_text.join(keys.select("problem_id", F.col("token"), mark(F.col("token")).alias("mark")), "mark").groupBy("problem_id", "skill_id").agg(F.count("*").alias("n"))
+    token = F.col("token")
+    keys = p.select("problem_id", F.explode("keywords").alias("token")).select("problem_id", F.when(token.rlike(tx.HAN), F.substring(token, 1, 1)).otherwise(F.substring(token, 1, 3)).alias("mark"))
+    n = F.length("text")
+    han = F.filter(F.split(F.regexp_replace("text", r"[^\x{4e00}-\x{9fff}]", ""), ""), lambda x: x != "")
+    threes = F.when(n >= 3, F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring("text", i, 3))).otherwise(F.array().cast("array<string>"))
+    of_text = s.select("skill_id", F.explode(F.array_distinct(F.concat(han, threes))).alias("mark"))
+    counts = of_text.join(keys, "mark").groupBy("problem_id", "skill_id").agg(F.count("*").alias("n"))
     both = counts.join(p, "problem_id").where(F.col("n") >= MATCH_AT * F.size("keywords")).join(s, "skill_id")
     scored = both.select("problem_id", "skill_id", search.keyword_share(F.col("keywords"), F.col("text")).alias("relevance")).where(F.col("relevance") >= MATCH_AT)
     return scored.groupBy("problem_id").agg(F.min_by("skill_id", F.struct(-F.col("relevance"), F.col("skill_id"))).alias("skill_id"), F.max("relevance").alias("relevance"))
@@ -117,6 +117,10 @@ def drafts(problems: DataFrame) -> DataFrame:
     return d.select("problem_id", "domain", F.concat(keys, F.lit(" 解决方案")).alias("name"), F.concat(F.lit("用于解决: "), F.substring("problem", 1, 100), F.lit("...")).alias("description"), "_t.template", "_t.steps", "_t.confidence", (F.col("_t.confidence") < 0.80).alias("needs_verification"))
 
 
+def _mentions(word: str):
+    return lambda s: _has(s["name"], [word]) | _has(s["description"], [word])
+
+
 def _has(c: Column, words: Sequence[str]) -> Column:
     return tx.contains_any(F.coalesce(c, F.lit("")), words)
 
@@ -136,7 +140,7 @@ def quality(skills: DataFrame) -> DataFrame:
     size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
     text_len = lambda c: F.coalesce(F.length(c), F.lit(0))
     auto, unchecked = F.coalesce(F.col("type") == "auto-generated", F.lit(False)), F.coalesce("needs_verification", F.lit(False))
-    covered = sum((F.when(F.exists("steps", lambda s, k=k: _has(s["name"], [k]) | _has(s["description"], [k])), 0.25).otherwise(0.0) for k in key), F.lit(0.0))
+    covered = sum((F.when(F.exists("steps", _mentions(k)), 0.25).otherwise(0.0) for k in key), F.lit(0.0))
     pairs = F.zip_with(F.slice("steps", 1, F.greatest(n - 1, F.lit(1))), F.slice("steps", 2, F.greatest(n - 1, F.lit(1))), lambda a, b: _follows(a, b, follows))
     logic = F.when(n < 2, 0.8).otherwise(F.size(F.filter(pairs, lambda x: x)) / F.greatest(n - 1, F.lit(1)))
     dims = {

@@ -11,7 +11,8 @@ def profile(ltm: DataFrame, most: int = 5) -> DataFrame:
     by = Window.partitionBy("category").orderBy(F.col("created_at").desc_nulls_last(), F.col("id").desc())
     last = ltm.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= most)
     recent = last.groupBy("category").agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("_r"), F.col("id")))), lambda s: s["id"]).alias("recent"))
-    return ltm.groupBy("category").agg(F.count("*").alias("entries")).join(recent, F.expr("true") & ltm["category"].eqNullSafe(recent["category"])).select(ltm["category"], "entries", "recent")
+    counts = ltm.groupBy("category").agg(F.count("*").alias("entries")).alias("c")
+    return counts.join(recent.alias("r"), F.col("c.category").eqNullSafe(F.col("r.category"))).select("c.category", "entries", "recent")
 
 
 def status(ltm: DataFrame, kb: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def search_terms(df: DataFrame, text: str, query: str, k: int, least: float = 0.
     weights = {w: words.count(w) for w in words}
     length = sum(n * n for n in weights.values()) ** 0.5
     tokens = tx.blank_tokens(text)
-    count = lambda t: F.size(F.filter("_t", lambda x: x == t)).cast("double")
+    count = lambda t: F.size(F.filter("_t", tx.equals(t))).cast("double")
     product = sum((count(w) * float(n) for w, n in weights.items()), F.lit(0.0))
     norm = F.sqrt(F.aggregate(F.transform(F.array_distinct("_t"), lambda u: F.pow(F.size(F.filter("_t", lambda x: x == u)).cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x))
     # rows that hold no query term have a cosine of 0: their norm is never taken
