@@ -66,8 +66,14 @@ def class_matches(a: DataFrame, b: DataFrame, threshold: float, method: str) ->
     df = ca.select("term").unionByName(cb.select("term")).groupBy("term").agg(F.count("*").alias("df"))
     pa, pb = _prefix(ca, df, threshold, method), _prefix(cb, df, threshold, method)
     pairs = pa.join(pb.select(F.col("digest").alias("match"), "term"), "term").select("digest", "match").distinct()
-    both = pairs.join(a.select("digest", F.col("text").alias("_a")), "digest").join(b.select(F.col("digest").alias("match"), F.col("text").alias("_b")), "match")
-    return both.select("digest", "match", similarity(method, F.col("_a"), F.col("_b")).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+    if method == "jaccard":
+        ca, cb = ca.withColumn("n", F.lit(1)), cb.withColumn("n", F.lit(1))
+    size = F.sum("n") if method == "jaccard" else F.sqrt(F.sum(F.col("n") * F.col("n")))
+    na, nb = ca.groupBy("digest").agg(size.alias("na")), cb.groupBy(F.col("digest").alias("match")).agg(size.alias("nb"))
+    shared = pairs.join(ca.select("digest", "term", F.col("n").alias("x")), "digest").join(cb.select(F.col("digest").alias("match"), "term", F.col("n").alias("y")), ["match", "term"])
+    sums = shared.groupBy("digest", "match").agg(F.sum(F.col("x") * F.col("y")).alias("common")).join(na, "digest").join(nb, "match")
+    value = F.col("common") / (F.col("na") + F.col("nb") - F.col("common")) if method == "jaccard" else F.least(F.lit(1.0), F.col("common") / (F.col("na") * F.col("nb")))
+    return sums.select("digest", "match", value.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
 
 
 def _prefix(counts: DataFrame, df: DataFrame, threshold: float, method: str) -> DataFrame:
