@@ -14,7 +14,10 @@ from . import oracle
 
 #: The searches that the queries run, and the moment that stands for now.
 WORDS, HAN, VECTOR, PROCEDURE = oracle.WORDS, oracle.HAN, oracle.VECTOR, oracle.PROCEDURE
-AS_OF = F.lit(oracle.AS_OF).cast("timestamp_ntz")
+
+
+def as_of():
+    return F.lit(oracle.AS_OF).cast("timestamp_ntz")
 
 
 def ltm(s: SparkSession, d: str) -> DataFrame:
@@ -192,7 +195,7 @@ def kb_checked(s, d):
 def ltm_updated(s, d):
     m = ltm(s, d)
     changes = m.where("category = 'habit'").select("id", F.concat("content", F.lit(" (checked)")).alias("content"), F.lit(None).cast("string").alias("source"))
-    return records.updated(m, changes, ["content", "source"], AS_OF).select("id", "content", "source", "updated_at")
+    return records.updated(m, changes, ["content", "source"], as_of()).select("id", "content", "source", "updated_at")
 
 
 def ltm_deleted(s, d):
@@ -249,7 +252,7 @@ def weight_statistics(s, d):
 
 
 def ranked_by_weight(s, d):
-    return _six(ranking.ranked(ltm(s, d), weights(s, d), AS_OF), "time_score", "rank_score").select("id", "weight", "weight_name", "time_score", "rank_score")
+    return _six(ranking.ranked(ltm(s, d), weights(s, d), as_of()), "time_score", "rank_score").select("id", "weight", "weight_name", "time_score", "rank_score")
 
 
 # sessions
