@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import history, leak, mixing, mojibake, neardup, pii, reading, split
@@ -26,18 +26,19 @@ def _entries(spark: SparkSession, d: str) -> DataFrame:
     return ltm.unionByName(_table(spark, d, "kb_entries").select(F.lit(1).alias("space"), "id", both.alias("text")))
 
 
-_KIND = F.when(F.col("space") == 0, "ltm").otherwise("kb").alias("record_kind")
+def _kind() -> Column:
+    return F.when(F.col("space") == 0, "ltm").otherwise("kb").alias("record_kind")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     members, links = neardup.near_duplicates(_entries(spark, d), ALIKE, WIDTH)
-    return neardup.expanded(members, links).select(_KIND, "id_a", "id_b")
+    return neardup.expanded(members, links).select(_kind(), "id_a", "id_b")
 
 
 def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     """Each entry with its class of copies and its links at the operator's own settings: runs of five words, 0.8."""
     members, links = neardup.near_duplicates(_entries(spark, d))
-    return neardup.with_links(members, links).select(_KIND, "id", "class_id", "copies", "links")
+    return neardup.with_links(members, links).select(_kind(), "id", "class_id", "copies", "links")
 
 
 # 2. new batches against history
