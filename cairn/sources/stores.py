@@ -42,7 +42,7 @@ def append(df: DataFrame, path: str) -> None:
 
 def read_weights(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object of entry id to weight."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(F.from_json("value", "map<string,int>")).alias("entry_id", "weight"))
 
 
@@ -54,14 +54,14 @@ def write_weights(weights: DataFrame, path: str) -> None:
 def read_encrypted(spark: SparkSession, path: str) -> DataFrame:
     """Encrypted entries: a JSON list, or an object with ``entries``; a file that is neither gives no row."""
     item = "array<struct<" + ", ".join(f"{a}: {b}" for a, b in (x.split() for x in ENCRYPTED.split(", "))) + ">>"
-    raw = spark.read.option("wholetext", True).text(path)
-    rows = F.coalesce(F.from_json("value", item), F.from_json("value", f"struct<entries: {item}>")["entries"])
+    raw = spark.read.text(path, wholetext=True)
+    rows = F.coalesce(F.from_json("value", f"struct<entries: {item}>")["entries"], F.from_json("value", item))
     return raw.select(F.explode(F.filter(rows, lambda x: x["id"].isNotNull())).alias("e")).select("e.*")
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     """(id, vector): a JSON object of id to numbers."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(F.from_json("value", "map<string,array<double>>")).alias("id", "vector"))
 
 
@@ -87,7 +87,7 @@ def read_front_matter(spark: SparkSession, path: str, schema: str) -> DataFrame:
                         out.append([str(v) if v is not None and not isinstance(v, (str, bool, list, int, float)) else v for v in (e.get(n) for n in names)])
             yield pd.DataFrame(out, columns=names)
 
-    rows = spark.read.option("wholetext", True).text(path).mapInPandas(parse, plain)
+    rows = spark.read.text(path, wholetext=True).mapInPandas(parse, plain)
     return rows.select(*(F.col(a).cast(b) if b.startswith("timestamp") else F.col(a) for a, b in (x.split(maxsplit=1) for x in schema.split(", "))))
 
 

@@ -26,8 +26,8 @@ def gap_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "12 day
     return events.withWatermark("event_ts", late).groupBy(F.session_window("event_ts", gap), "session_id").agg(F.count("*").alias("events"))
 
 
-def suggestions(events: DataFrame, threshold: float = 0.70, idle_ms: int = 86_400_000) -> DataFrame:
-    """Statements worth saving, session by session, as they arrive; a session idle for ``idle_ms`` is forgotten."""
+def suggestions(events: DataFrame, threshold: float = 0.70, idle_ms: int = 86_400_000, late: str = "12 days") -> DataFrame:
+    """Statements worth saving, session by session, as they arrive; a session is forgotten when the watermark is ``idle_ms`` past its last event."""
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -41,11 +41,13 @@ def suggestions(events: DataFrame, threshold: float = 0.70, idle_ms: int = 86_40
             for _, r, snippet in s.suggestions_in([t], seen, threshold, compiled):
                 out.append((key[0], eid, r.destination, r.category, r.confidence, r.reason, list(r.tags), snippet))
         state.update((sorted(seen),))
-        state.setTimeoutDuration(idle_ms)
+        last = pd.to_datetime(rows["event_ts"]).max()
+        now = max(0 if pd.isna(last) else int(last.timestamp() * 1000), state.getCurrentWatermarkMs())
+        state.setTimeoutTimestamp(now + idle_ms)
         yield pd.DataFrame(out, columns=[x.split()[0] for x in s.SUGGESTION.split(", ")])
 
-    rows = s.written_events(events).select("session_id", "event_id", "event_ts", "content")
-    return rows.groupBy("session_id").applyInPandasWithState(fold, s.SUGGESTION, "seen array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = s.written_events(events.withWatermark("event_ts", late)).select("session_id", "event_id", "event_ts", "content")
+    return rows.groupBy("session_id").applyInPandasWithState(fold, s.SUGGESTION, "seen array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def flush_batches(pending: DataFrame, write_ltm, write_kb, write_rejects, checkpoint: str):
