@@ -352,18 +352,25 @@ def cued_labels(text: str, nd: Nodes) -> np.ndarray:
 
 def train(texts: list[str], steps: int = 120, seed: int = 3) -> Field:
     """Fit a field on a bounded list of texts labelled by cues."""
-    flat, off = at.to_codepoints(pa.array(texts, pa.string()))
-    cps, off = _apart(*traced(flat, off)[:2])
-    text = cps.tobytes().decode("utf-32-le")
-    nd = nodes(cps, off, text, None)
-    y = cued_labels(text, nd)
-    chain, skip = edges(nd, off)
+    parts, chains, skips, labels, base = [], [], [], [], 0
+    for i in range(0, max(1, len(texts)), 2000):  # in parts: a batch's arrays are many times its text
+        cps, off = _apart(*traced(*at.to_codepoints(pa.array(texts[i : i + 2000], pa.string())))[:2])
+        text = cps.tobytes().decode("utf-32-le")
+        nd = nodes(cps, off, text, None)
+        labels.append(cued_labels(text, nd))
+        c, k = edges(nd, off)
+        chains.append(c + base)
+        skips.append(k + base)
+        parts.append((nd.feats, nd.kind))
+        base += len(nd.start)
+    feats, kind = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    y, chain, skip = np.concatenate(labels), np.concatenate(chains), np.concatenate(skips)
     rng = np.random.default_rng(seed)
-    plain = np.flatnonzero((y == NONE) & (nd.kind == NAME))
-    some = np.flatnonzero((y != NONE) | (nd.kind != NAME))
+    plain = np.flatnonzero((y == NONE) & (kind == NAME))
+    some = np.flatnonzero((y != NONE) | (kind != NAME))
     drawn = rng.choice(plain, min(len(plain), max(20_000, 8 * len(some))), replace=False) if len(plain) else plain
     k = np.concatenate([some, drawn])
-    x, t = nd.feats[k], y[k]
+    x, t = feats[k], y[k]
     weight = np.where(t == NONE, 1.0, 2.0)
     weights = np.zeros((1 << FEATURE_BITS, len(LABELS)))
     scale = np.full(weights.shape, 1e-8)
@@ -372,7 +379,9 @@ def train(texts: list[str], steps: int = 120, seed: int = 3) -> Field:
     inv = inv.reshape(x.shape)
     wts, acc = weights[used], scale[used]
     for _ in range(steps if len(k) else 0):
-        z = wts[inv].sum(axis=1)
+        z = wts[inv[:, 0]]
+        for j in range(1, _F):
+            z += wts[inv[:, j]]
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(axis=1, keepdims=True)
