@@ -9,6 +9,8 @@ from ..functions import similarity as sim
 from ..functions import text as tx
 
 METHODS = ("cosine", "jaccard", "levenshtein")
+#: Longs of a text's token bitmap.
+BITMAP = 4
 
 
 def exact_groups(df: DataFrame, text: str, key: str = "id") -> DataFrame:
@@ -56,7 +58,8 @@ def class_matches(a: DataFrame, b: DataFrame, threshold: float, method: str) ->
     Token methods meet on prefixes of the rarest tokens.  Two sets at Jaccard t share
     one of the |A| - ceil(t |A|) + 1 rarest of each; two count vectors at cosine t
     share a token outside the commonest ones whose squares sum to under t squared of
-    the vector's own, since those alone could not make up the cosine.  Edit similarity
+    the vector's own, since those alone could not make up the cosine.  Bitmaps of the
+    tokens bound what a pair can have in common, inside the join.  Edit similarity
     meets within bands of length.  Candidates are then measured exactly.
     """
     if method == "levenshtein":
@@ -65,7 +68,8 @@ def class_matches(a: DataFrame, b: DataFrame, threshold: float, method: str) ->
     ca, cb = counts(a), counts(b)
     df = ca.select("term").unionByName(cb.select("term")).groupBy("term").agg(F.count("*").alias("df"))
     pa, pb = _prefix(ca, df, threshold, method), _prefix(cb, df, threshold, method)
-    pairs = pa.join(pb.select(F.col("digest").alias("match"), "term"), "term").select("digest", "match").distinct()
+    x, y = pa.alias("x"), pb.alias("y")
+    pairs = x.join(y, (F.col("x.term") == F.col("y.term")) & _may_reach(threshold, method)).select(F.col("x.digest").alias("digest"), F.col("y.digest").alias("match")).distinct()
     if method == "jaccard":
         ca, cb = ca.withColumn("n", F.lit(1)), cb.withColumn("n", F.lit(1))
     size = F.sum("n") if method == "jaccard" else F.sqrt(F.sum(F.col("n") * F.col("n")))
@@ -76,16 +80,29 @@ def class_matches(a: DataFrame, b: DataFrame, threshold: float, method: str) ->
     return sums.select("digest", "match", value.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
 
 
+def _may_reach(threshold: float, method: str) -> Column:
+    """Upper bound of a pair's similarity: every bit of one bitmap that the other lacks is a token (of count 1 or more) they don't share."""
+    lacks = lambda a, b: sum((F.bit_count(F.col(f"{a}.b{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}.b{i}")))) for i in range(BITMAP)), F.lit(0))
+    a, b = F.col("x.all") - lacks("x", "y"), F.col("y.all") - lacks("y", "x")
+    if method == "jaccard":
+        common = F.least(a, b)
+        return common >= threshold * (F.col("x.all") + F.col("y.all") - common) - 1e-9
+    return a * b >= threshold * threshold * F.col("x.all") * F.col("y.all") - 1e-9
+
+
 def _prefix(counts: DataFrame, df: DataFrame, threshold: float, method: str) -> DataFrame:
     """(digest, term): the rarest tokens of each text that a pair at the threshold must share one of."""
     weight = F.lit(1.0) if method == "jaccard" else (F.col("n") * F.col("n")).cast("double")
     share = threshold if method == "jaccard" else threshold * threshold
     parts = counts.join(df, "term").withColumn("w", weight)
-    rows = parts.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct(-F.col("df"), F.col("term"), F.col("w")))).alias("t"), F.sum("w").alias("all"))
+    h = "pmod(xxhash64(term), 64 * %d)" % BITMAP
+    bits = [F.expr(f"coalesce(bit_or(CASE WHEN {h} DIV 64 = {i} THEN shiftleft(1L, CAST({h} % 64 AS INT)) END), 0L)").alias(f"b{i}") for i in range(BITMAP)]
+    rows = parts.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct(-F.col("df"), F.col("term"), F.col("w")))).alias("t"), F.sum("w").alias("all"), *bits)
     # commonest first: leave out while the sum stays under the share that a pair needs
+    kept = [f"b{i}" for i in range(BITMAP)]
     step = lambda acc, x: F.struct((acc["s"] + x["w"]).alias("s"), F.when(acc["s"] + x["w"] < share * F.col("all") - 1e-9, acc["k"] + 1).otherwise(acc["k"]).alias("k"))
     left_out = F.aggregate("t", F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("k")), step)["k"]
-    return rows.select("digest", F.explode(F.slice("t", left_out + 1, F.size("t"))).alias("x")).select("digest", F.col("x.term").alias("term"))
+    return rows.select("digest", F.explode(F.slice("t", left_out + 1, F.size("t"))).alias("x"), "all", *kept).select("digest", F.col("x.term").alias("term"), "all", *kept)
 
 
 def _by_length(new: DataFrame, existing: DataFrame, threshold: float) -> DataFrame:
