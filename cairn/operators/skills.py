@@ -203,3 +203,46 @@ def with_feedback(skills: DataFrame, feedback: DataFrame) -> DataFrame:
     """Skills (skill_id, version) with feedback (skill_id, feedback): sentiment, aspect, suggestion and the version after it."""
     f = feedback.select("skill_id", tx.sentiment("feedback").alias("sentiment"), tx.aspect("feedback").alias("aspect"), F.substring(tx.strip("feedback"), 1, 200).alias("suggestion"))
     return skills.join(f, "skill_id").withColumn("new_version", next_version(F.col("version")))
+
+
+# What is advised where a dimension is under its bound.
+ADVICE = [
+    ("completeness", 0.6, "增加或细化步骤，确保过程完整"),
+    ("clarity", 0.6, "提高步骤描述的清晰度，使用更具体的语言"),
+    ("feasibility", 0.6, "提供更多执行细节，确保 Skill 可实际操作"),
+    ("evidence_support", 0.5, "添加更多 LTM 参考或基础 Skill"),
+    ("novelty", 0.3, "尝试新的组合或视角来提高创新性"),
+    ("risk_mitigation", 0.5, "识别并列出潜在风险，创建验证清单"),
+]
+ALL_WELL = "Skill 质量良好，可以使用"
+
+
+def advised(scored: DataFrame) -> DataFrame:
+    """``quality`` rows with recommendations, status and action."""
+    found = F.array_compact(F.array(*[F.when(F.col(d) < F.lit(bound), F.lit(text)) for d, bound, text in ADVICE]))
+    d = scored.withColumn("recommendations", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(ALL_WELL))))
+    return d.withColumn("status", F.when(F.col("approved"), "ready_for_use").otherwise("needs_improvement")).withColumn("action", F.when(F.col("approved"), "save_to_kb").otherwise("collect_feedback"))
+
+
+def solved(problems: DataFrame, match: DataFrame, plans: DataFrame, made: DataFrame) -> DataFrame:
+    """(problem_id, layer, confidence, status, needs_feedback): the first of a matched skill, a composed plan and an approved draft.
+
+    ``match`` (problem_id), ``plans`` (problem_id, can_compose) and ``made``
+    (problem_id, overall, approved) are results of the operators above.
+    """
+    m = match.select("problem_id", F.lit(True).alias("_m"))
+    p = plans.where("can_compose").select("problem_id", F.lit(True).alias("_p"))
+    g = made.where("approved").select("problem_id", F.col("overall").alias("_g"))
+    d = problems.select("problem_id").join(m, "problem_id", "left").join(p, "problem_id", "left").join(g, "problem_id", "left")
+    layer = F.when(F.col("_m"), 1).when(F.col("_p"), 2).when(F.col("_g").isNotNull(), 3).otherwise(0)
+    d = d.withColumn("layer", layer)
+    d = d.withColumn("confidence", F.when(F.col("layer") == 1, 0.95).when(F.col("layer") == 2, 0.80).when(F.col("layer") == 3, F.col("_g")).otherwise(0.0))
+    status = F.when(F.col("layer") == 0, "failed").when((F.col("layer") == 3) & (F.col("confidence") < 0.75), "partial").otherwise("success")
+    return d.select("problem_id", "layer", "confidence", status.alias("status"), ((F.col("layer") == 3) & (F.col("confidence") < 0.85)).alias("needs_feedback"))
+
+
+def generation_sources(memories: DataFrame, entries: DataFrame, limit: int) -> DataFrame:
+    """(id, source, relevance): memories before knowledge entries (id, score), cut at ``limit``; a memory's relevance is the word high."""
+    a = memories.select("id", F.lit("ltm").alias("source"), F.lit("high").alias("relevance"), F.lit(0).alias("_o"), F.col("score").alias("_s"))
+    b = entries.select("id", F.lit("kb").alias("source"), F.col("score").cast("string").alias("relevance"), F.lit(1).alias("_o"), F.col("score").alias("_s"))
+    return a.unionByName(b).orderBy("_o", F.col("_s").desc(), "id").limit(limit).select("id", "source", "relevance")

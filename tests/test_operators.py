@@ -218,3 +218,21 @@ def test_coverage(spark):
     d = spark.createDataFrame([("g", 0.9, ["a", "b"], "x"), ("g", 0.1, None, "y")], "grp string, relevance double, tags array<string>, category string")
     r = summaries.coverage(d, ["grp"]).first()
     assert (r["coverage"], r["diversity"], r["can_compose"]) == (0.5, 1.0, True)
+
+
+def test_advice_and_cascade(spark):
+    r = skills.advised(skills.quality(skill(spark, []))).first()
+    assert len(r["recommendations"]) == 3 and r["action"] == "collect_feedback"
+    good = skills.advised(skills.quality(skill(spark, [("分析", "d" * 40, "框架", None), ("评估验证总结反馈", "d" * 40, "框架", None)]))).first()
+    assert good["recommendations"] == [skills.ALL_WELL] and good["status"] == "ready_for_use"
+    p = spark.createDataFrame([("1",), ("2",), ("3",), ("4",)], "problem_id string")
+    plans = spark.createDataFrame([("1", True), ("2", True), ("3", False)], "problem_id string, can_compose boolean")
+    made = spark.createDataFrame([("3", 0.72, True), ("4", 0.6, False)], "problem_id string, overall double, approved boolean")
+    got = {r["problem_id"]: tuple(r)[1:] for r in skills.solved(p, p.where("problem_id = '1'"), plans, made).collect()}
+    assert got == {"1": (1, 0.95, "success", False), "2": (2, 0.80, "success", False), "3": (3, 0.72, "partial", True), "4": (0, 0.0, "failed", False)}
+
+
+def test_generation_sources(spark):
+    a = spark.createDataFrame([("m", 0.1)], "id string, score double")
+    b = spark.createDataFrame([("k", 9.0), ("l", 8.0)], "id string, score double")
+    assert [r["id"] for r in skills.generation_sources(a, b, 2).collect()] == ["m", "k"]
