@@ -5,9 +5,8 @@ texts by a permutation of its signature; a tree is kept as sorted runs of
 (tree, label, class) in the forest's folder, one run for each accepted batch or
 load, merged when asked.  A batch entry finds its range in a tree by a prefix of
 its own label.  Search begins with long prefixes in a few trees, which settles
-close copies; what is still open is widened to the shortest prefix, tree by tree,
-the least crowded ranges first, until the recall target is met.  Candidates are
-counted on packed sketches inside the join and verified exactly.
+close copies; what is still open is widened to the shortest prefix of every tree,
+however crowded its range.  Candidates are counted on packed sketches inside the join and verified exactly.
 
 Only an entry's first occurrence is searched: later copies of the same set of
 words are settled by the class's first batch.
@@ -65,11 +64,9 @@ def entries(classes: DataFrame) -> DataFrame:
 class HashForest:
     """Sorted runs of accepted texts in a folder, and searches over them."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, threshold: float = 0.8, width: int = 5, recall: float = 1 - 1e-6) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None, threshold: float = 0.8, width: int = 5) -> None:
         self.spark, self.threshold, self.width = spark, threshold, width
         self.path = path or table_path(spark, "forest")
-        #: trees to be opened at the shortest prefix, where each finds a pair with chance ``threshold``
-        self.widen = int(np.ceil(np.log(1 - recall) / np.log(1 - threshold)))
         self.runs = 0
 
     def add(self, df: DataFrame, sort: bool = True) -> DataFrame:
@@ -155,9 +152,9 @@ class HashForest:
         return out
 
     def _widened(self, queries: DataFrame, counts: np.ndarray) -> DataFrame:
-        """Query entries at the shortest prefix: of each class as many trees as the recall target takes, the least crowded first."""
+        """Query entries at the shortest prefix of every tree, but for ranges that hold only the entry itself."""
         shared = self.spark.sparkContext.broadcast(counts)  # fixed size
-        perm, widen = permutations(), min(self.widen, TREES)
+        perm = permutations()
         schema = "tree int, v0 int, parts int, " + "fp long, batch int, n int, s0 long, s1 long, s2 long"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,10 +164,7 @@ class HashForest:
                     v0 = sg.sig_array(b.column("sig"))[:, perm[:, 0]].view(np.int32)
                     tree = np.broadcast_to(np.arange(TREES, dtype=np.int32), v0.shape)
                     c = shared.value[_bucket(tree.ravel(), v0.ravel())].reshape(v0.shape)
-                    c = np.where(c < 2, np.iinfo(np.int32).max, c)  # empty ranges, but for the entry itself
-                    top = np.argsort(c, axis=1, kind="stable")[:, :widen]
-                    r, j = np.nonzero(np.take_along_axis(c, top, 1) < np.iinfo(np.int32).max)
-                    t = top[r, j]
+                    r, t = np.nonzero(c > 1)  # a bucket counts at least its range
                     pick = pa.array(r)
                     yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(v0[r, t]), pa.array((1 + (c[r, t] - 1) // LIST).astype(np.int32)), *(b.column(x).take(pick) for x in _CLASS)], ["tree", "v0", "parts", *_CLASS])
 

@@ -63,6 +63,17 @@ def test_history(spark):
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+def test_history_in_crowded_ranges(spark):
+    # items are alike (52/101) only to near-copies of one boilerplate; their other words are in texts that are not alike enough
+    base = [f"b{i}" for i in range(54)]
+    tails = [[f"t{i}x{j}" for j in range(48)] for i in range(300)]
+    past = [(f"m{i}", " ".join([*base, f"m{i}"])) for i in range(2000)] + [(f"d{i}-{k}", " ".join(t)) for i, t in enumerate(tails) for k in range(2)]
+    new = [(f"{i}", 1, " ".join([*base, *t])) for i, t in enumerate(tails)]
+    assert 0.5 <= alike(shingles(new[0][2], 3), shingles(past[0][1], 3)) < 0.53 and alike(shingles(new[0][2], 3), shingles(past[2000][1], 3)) < 0.5
+    got = history.already_present(spark.createDataFrame(past, "id string, text string"), spark.createDataFrame(new, "id string, batch int, text string"), 0.5, 3)
+    assert {r["id"] for r in got.collect()} == {x[0] for x in new}
+
+
 def test_forest_runs_and_merge(spark):
     f = history.HashForest(spark, threshold=0.5, width=3)
     texts = corpus(7, 60, 4)
