@@ -6,7 +6,9 @@ stretch; a stretch is taken when its garbling cost drops, and the whole is
 repeated for nested layers.
 
 The garbling cost is that of a character model: interpolated bigram counts over
-all texts of the corpus, kept in tables of fixed size.  Repairs into a multi-byte
+all texts of the corpus, kept in tables of fixed size.  Suspects don't vote for
+themselves: stretches that strictly decode as a multi-byte encoding aren't
+counted, and copies of a text count by the logarithm of their number.  Repairs into a multi-byte
 encoding work on maximal runs of strictly valid sequences; between two
 single-byte encodings (and between two double-byte ones) characters correspond
 one to one, and the stretch is the span with the largest total drop.
@@ -36,7 +38,7 @@ from .workspace import slices
 #: Buckets of the bigram counts (a fixed size whatever the corpus).
 PAIR_BITS = 21
 _POINTS = 0x30000
-#: Drops of the garbling cost, in nats, from which a repair is taken.
+#: Drops of the garbling cost, in nats, from which a repair is taken: of all runs of one encoding in a text, and of a span.
 TAKE_RUN, TAKE_SPAN = 3.0, 9.0
 LAYERS = 4
 
@@ -53,6 +55,8 @@ _UTF8 = re.compile(rb"(?:[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1
 _UTF8_LONG = re.compile(rb"(?:[\xE3-\xE9][\x80-\xBF]{2}|\xEF[\xBC\xBD][\x80-\xBF]|\xE2[\x80-\x9F][\x80-\xBF]|[\xC3-\xC5][\x80-\xBF])+")
 _GBK = re.compile(rb"(?:[\xA1-\xF7][\xA1-\xFE]){2,}")
 _HIGH = re.compile(r"[^\x00-\x7f]+")
+#: UTF-8 read as GBK, at a length that GBK text doesn't reach by chance.
+_UTF8_IN_GBK = re.compile(rb"(?:[\xE3-\xE9][\x80-\xBF]{2}|\xEF[\xBC\xBD][\x80-\xBF]){3,}")
 
 
 def _fallback(e: UnicodeEncodeError) -> tuple[bytes, int]:
@@ -116,28 +120,64 @@ def pair_bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (w.mix((a.astype(np.uint64) << np.uint64(21)) | b.astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
 
+#: What a garbled stretch would have been: letters and signs of common scripts. Other results of decoding are chance.
+_USUAL = re.compile(r"[\x80-\u017fƒˆ˜Ά-ώЁА-яё‐-›€№™\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3\uff00-\uff5e\U0001f300-\U0001faff]+")
+
+
+@lru_cache(None)
+def _gbk_lengths() -> np.ndarray:
+    return np.array([1 if c < 0x80 or 0xD800 <= c < 0xE000 else len(chr(c).encode("gbk", "cairn_stop")) for c in range(_POINTS)], np.int8)
+
+
+def suspects(cps: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Which characters of flat texts are in a stretch that strictly decodes as a multi-byte encoding.
+
+    Cyrillic words always decode as GBK, so that reading of them is no ground.
+    """
+    flat, mask = np.insert(cps, off[1:], 10), np.zeros(len(cps) + len(off) - 1, bool)  # no stretch runs from one text into the next
+    narrow = np.where(flat < 0x2E80, flat, 0).astype(np.uint32).tobytes().decode("utf-32-le")
+    for enc in dict.fromkeys(INTO_UTF8 + INTO_GBK):
+        b = narrow.encode(enc, "cairn_fallback" if enc == "cp1252" else "cairn_stop")
+        for pattern in [_UTF8] * (enc in INTO_UTF8) + [_GBK] * (enc in INTO_GBK and enc != "cp1251"):
+            for m in pattern.finditer(b):
+                try:
+                    mask[m.start() : m.end()] |= bool(_USUAL.fullmatch(m.group().decode("utf-8" if pattern is _UTF8 else "gbk")))
+                except UnicodeError:
+                    pass
+    ends = np.cumsum(_gbk_lengths()[np.minimum(flat, _POINTS - 1)], dtype=np.int64)
+    for m in _UTF8_IN_GBK.finditer(flat.astype(np.uint32).tobytes().decode("utf-32-le").encode("gbk", "cairn_stop")):
+        i, j = np.searchsorted(ends, (m.start(), m.end() - 1), side="right")
+        mask[i : j + 1] = True
+    return np.delete(mask, off[1:] + np.arange(len(off) - 1))
+
+
 def character_model(df: DataFrame, text: str) -> Model:
-    """Counts over every text of ``df``; what reaches the driver has a fixed size."""
+    """Counts over every text of ``df``, without stretches that may be garbled; what reaches the driver has a fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ones, pairs = np.zeros(_POINTS, np.int64), np.zeros(1 << PAIR_BITS, np.int64)
         for whole in batches:
             for b in slices(whole, [text]):
                 cps, off = at.to_codepoints(b.column(text))
+                clear = ~suspects(cps, off)
                 cps = np.minimum(cps, _POINTS - 1)
-                ones += np.bincount(cps, minlength=_POINTS)
+                votes = 1 + np.floor(np.log2(b.column("copies").to_numpy())).astype(np.int64)
+                votes = np.repeat(votes, np.diff(off)) * clear
+                ones += np.bincount(cps, votes, _POINTS).astype(np.int64)
                 if len(cps) > 1:
-                    inside = np.ones(len(cps), bool)
+                    inside = clear.copy()
+                    inside[1:] &= clear[:-1]
                     inside[off[:-1][off[:-1] < len(cps)]] = False
                     i = np.flatnonzero(inside)
-                    pairs += np.bincount(pair_bucket(cps[i - 1], cps[i]), minlength=len(pairs))
+                    pairs += np.bincount(pair_bucket(cps[i - 1], cps[i]), votes[i], len(pairs)).astype(np.int64)
         for kind, total in enumerate((ones, pairs)):
             some = np.flatnonzero(total)
             for k in range(0, len(some), 1 << 16):
                 x = some[k : k + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x.astype(np.int32)), pa.array(total[x])], ["kind", "place", "n"])
 
-    got = df.select(text).mapInArrow(run, "kind int, place int, n long").groupBy("kind", "place").agg(F.sum("n").alias("n")).toArrow()
+    texts = df.where(F.col(text).isNotNull()).groupBy(text).agg(F.count("*").alias("copies"))
+    got = texts.mapInArrow(run, "kind int, place int, n long").groupBy("kind", "place").agg(F.sum("n").alias("n")).toArrow()
     kind, place, n = (got[c].to_numpy() for c in ("kind", "place", "n"))
     ones, pairs = np.zeros(_POINTS, np.int64), np.zeros(1 << PAIR_BITS, np.float32)
     ones[place[kind == 0]] = n[kind == 0]
@@ -249,8 +289,10 @@ def repair_layer(texts: list[str], model: Model) -> list[tuple[str, list[str]]]:
     drop = model.of_strings(prev, old) - model.of_strings(prev, [x[4] for x in found])
     best: dict[int, dict[str, list]] = {}
     for (r, how, s, e, new), d in zip(found, drop):
-        if d >= TAKE_RUN:
+        if d > 0:
             best.setdefault(r, {}).setdefault(how, []).append((d, s, e, new))
+    # the runs of one encoding in a text bear each other out
+    best = {r: some for r, by in best.items() if (some := {how: x for how, x in by.items() if sum(p[0] for p in x) >= TAKE_RUN})}
     spans = _span_repairs(texts, model)
     # a span's drop in its place: after the unchanged character before it, with the one after it
     prev = [texts[r][s - 1 : s] or "\n" for r, _, s, _, _, _ in spans]

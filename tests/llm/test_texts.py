@@ -114,6 +114,17 @@ def test_round_trip_repair(spark):
     assert mojibake.restored(d.where("doc_id = 20000"), "doc_id", "text").count() == 0
 
 
+def test_repair_of_a_third_garbled_alike(spark):
+    r = random.Random(4)
+    de = "für Müller größere Straße prüft Übergabe später schön Grüße Maß über können die der und mit Haus Weg Tag".split()
+    fr = "décision école déjà prête côté où été élève père naïve le la les des avec pour jour mot".split()
+    texts = [" ".join(r.choices(de if i % 2 else fr, k=12)) + "." for i in range(600)]
+    copied = "Die Übergabe prüft später".encode().decode("cp1252")
+    rows = [(i, t.encode().decode("latin-1") if i % 3 == 0 else t) for i, t in enumerate(texts)] + [(1000 + i, copied) for i in range(300)]
+    got = {x["doc_id"]: x["restored"] for x in mojibake.restored(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got == {i: texts[i] for i in range(0, 600, 3) if not texts[i].isascii()} | {1000 + i: "Die Übergabe prüft später" for i in range(300)}
+
+
 FRAMES = ["My name is {n}. Please call {p} soon.", "Talk to {n} first.", "Address: {a}, thanks.", "Send it to {e} today.", "National id: {i} is on file.", "The {w} team merges old records.", "Trace 12345678901234567890 was closed."]
 
 
