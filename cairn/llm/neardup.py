@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import signatures as sg
-from .workspace import written
+from .workspace import chunked, crossed, written
 
 #: Longest list that meets itself within one task; longer ones are cut by salt.
 LIST = 1000
@@ -83,25 +83,28 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, width: int = 5) -> tu
     return members, class_pairs(written(sg.classes_of(rows, ["space"]), "classes"), threshold)
 
 
-def expanded(members: DataFrame, links: DataFrame, most: int = 1000) -> DataFrame:
+def expanded(members: DataFrame, links: DataFrame, most: int | None = None) -> DataFrame:
     """(space, id_a, id_b, alikeness): pairs of ids, the smaller first.
 
-    Copies pair with each other and with the members of linked classes.  A class
-    of more than ``most`` copies is given in its class form instead: its first
-    id, the representative, pairs with each copy and with linked classes, so the
-    output stays in proportion to the rows.
+    Copies pair with each other and with the members of linked classes, by lists
+    of bounded length, so that no task has more than its share of the pairs.  If
+    ``most`` is given, a class of more copies comes in its class form instead: its
+    first id, the representative, pairs with each copy and with linked classes.
     """
     size = members.groupBy("space", "fp").agg(F.count("*").alias("copies"), F.min("id").alias("head"))
-    m = members.join(size.where("copies > 1"), ["space", "fp"], "left")
-    big = F.coalesce(F.col("copies") > most, F.lit(False))
-    spread = m.where(~big | (F.col("id") == F.col("head"))).select("space", "fp", "id")
-    many = m.where("copies > 1")
-    inner = many.where(~big).alias("x").join(many.where(~big).select("space", "fp", F.col("id").alias("other")).alias("y"), ["space", "fp"]).where(F.col("id") < F.col("other")).select("space", F.col("id").alias("id_a"), F.col("other").alias("id_b"), F.lit(1.0).alias("alikeness"))
-    star = many.where(big & (F.col("id") > F.col("head"))).select("space", F.col("head").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("alikeness"))
-    side = lambda x: spread.select("space", F.col("fp").alias(x), F.col("id").alias(f"id_{x}"))
-    across = links.join(side("a"), ["space", "a"]).join(side("b"), ["space", "b"])
-    across = across.select("space", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "alikeness")
-    return inner.unionByName(star).unionByName(across)
+    m = members.join(size, ["space", "fp"])
+    big = F.lit(False) if most is None else F.col("copies") > most
+    lists = chunked(m.where(~big | (F.col("id") == F.col("head"))), ["space", "fp"])
+    many = lists.where("copies > 1")
+    of = lambda d, x: d.select("space", "fp", F.col("chunk").alias(f"chunk_{x}"), F.col("ids").alias(f"{x}s"))
+    inner = of(many, "x").join(of(many, "y"), ["space", "fp"]).where("chunk_x <= chunk_y")
+    inner = crossed(inner, ["space", "chunk_x", "chunk_y"]).where((F.col("chunk_x") < F.col("chunk_y")) | (F.col("x") < F.col("y"))).withColumn("alikeness", F.lit(1.0))
+    side = lambda c, x: lists.select("space", F.col("fp").alias(c), F.col("ids").alias(f"{x}s"))
+    across = crossed(links.join(side("a", "x"), ["space", "a"]).join(side("b", "y"), ["space", "b"]), ["space", "alikeness"])
+    out = inner.select("space", "x", "y", "alikeness").unionByName(across).select("space", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "alikeness")
+    if most is None:
+        return out
+    return out.unionByName(m.where(big & (F.col("id") > F.col("head"))).select("space", F.col("head").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("alikeness")))
 
 
 def with_links(members: DataFrame, links: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrowtext as at
-from .workspace import written
+from .workspace import chunked, crossed, written
 
 # Look-alike letters and the Latin letters they are drawn like.
 LOOKALIKES = {
@@ -274,23 +274,23 @@ def reading_form(col: Column | str) -> Column:
     return _reading_udf(F.col(col) if isinstance(col, str) else col)
 
 
-def same_reading(df: DataFrame, on: list[str], key: str, value: str, most: int = 1000) -> DataFrame:
+def same_reading(df: DataFrame, on: list[str], key: str, value: str) -> DataFrame:
     """(on..., id_a, id_b), id_a < id_b: rows whose values read the same but aren't the same string.
 
     Rows are grouped by the digest of their reading form and, within it, by that of
     the string; only forms with several strings go on, so a value that many rows
-    hold unchanged costs one aggregation.  A string held by more than ``most`` rows
-    is given by its first row: that row pairs with the rows of the other strings.
+    hold unchanged costs one aggregation.  All rows of different strings pair, by
+    lists of bounded length, so that no task has more than its share of the pairs.
 
     Defined results: null values pair with nothing; redelivered rows count once.
     """
     rows = df.where(F.col(value).isNotNull()).select(*on, F.col(key).cast("string").alias("id"), F.unhex(F.md5(F.encode(reading_form(value), "utf-8"))).alias("form"), F.unhex(F.md5(F.encode(F.col(value), "utf-8"))).alias("raw")).distinct()
     rows = written(rows, "reading")
-    strings = rows.groupBy(*on, "form", "raw").agg(F.count("*").alias("n"), F.min("id").alias("head"))
+    strings = rows.groupBy(*on, "form", "raw").agg(F.count("*").alias("n"))
     several = strings.groupBy(*on, "form").agg(F.count("*").alias("strings")).where("strings > 1").select(*on, "form")
     strings = strings.join(several, [*on, "form"], "left_semi")
-    members = rows.join(strings.select(*on, "form", "raw", "n", "head"), [*on, "form", "raw"]).where((F.col("n") <= most) | (F.col("id") == F.col("head")))
-    pairs = strings.select(*on, "form", F.col("raw").alias("raw_a")).join(strings.select(*on, "form", F.col("raw").alias("raw_b")), [*on, "form"]).where("raw_a < raw_b")
-    side = lambda x: members.select(*on, "form", F.col("raw").alias(f"raw_{x}"), F.col("id").alias(x))
-    both = pairs.join(side("a"), [*on, "form", "raw_a"]).join(side("b"), [*on, "form", "raw_b"])
-    return both.where("a != b").select(*on, F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
+    members = rows.join(strings.select(*on, "form", "raw", F.col("n").alias("copies")), [*on, "form", "raw"])
+    lists = written(chunked(members, [*on, "form", "raw"]), "lists")
+    side = lambda x: lists.select(*on, "form", F.col("raw").alias(f"raw_{x}"), F.col("ids").alias(f"{x}s"))
+    both = crossed(side("x").join(side("y"), [*on, "form"]).where("raw_x < raw_y"), on)
+    return both.where("x != y").select(*on, F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -42,6 +43,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def chunked(rows: DataFrame, by: list[str], most: int = 1000) -> DataFrame:
+    """(by..., copies, chunk, ids): the ids (``id``) of each group of ``copies`` rows, in lists of about ``most``."""
+    parts = F.ceil(F.col("copies") / most)
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("id"), parts)).groupBy(*by, "copies", "chunk").agg(F.collect_list("id").alias("ids"))
+
+
+def crossed(lists: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep..., x, y): each id of ``xs`` with each of ``ys``; pairs of lists are spread before they grow."""
+    d = lists.repartition(F.xxhash64("xs", "ys"))
+    return d.select(*keep, "ys", F.explode("xs").alias("x")).select(*keep, "x", F.explode("ys").alias("y"))
+
+
 def slices(batch, columns: list[str], most: int = 1_000_000):
     """Parts of an Arrow batch whose texts hold about ``most`` bytes each; rows are never cut."""
     import numpy as np

@@ -47,6 +47,12 @@ def test_near_duplicates(spark, threshold, width):
     assert neardup.with_links(members, links).where("space = 1").first()["copies"] == 1
 
 
+def test_all_pairs_of_a_large_class(spark):
+    rows = [(0, f"{i:04d}", "one and the same text of some more words") for i in range(1101)] + [(0, "x", "one and the same text of some more words here")]
+    pairs = neardup.expanded(*neardup.near_duplicates(spark.createDataFrame(rows, "space int, id string, text string"), 0.5, 3))
+    assert pairs.count() == 1101 * 1100 // 2 + 1101 == pairs.where("id_a < id_b").select("id_a", "id_b").distinct().count()
+
+
 def test_near_duplicates_of_nothing(spark):
     d = spark.createDataFrame([], "space int, id string, text string")
     assert neardup.expanded(*neardup.near_duplicates(d)).count() == 0

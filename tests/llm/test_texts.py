@@ -57,6 +57,12 @@ def test_words():
     assert h[:2].tolist() == h[2:4].tolist() and h[1] != h[5] and ho.tolist() == [0, 2, 4, 6]
 
 
+def test_same_reading_of_a_large_group(spark):
+    d = spark.createDataFrame([(f"{i:04d}", "a b") for i in range(1101)] + [("x", "a\u00a0b"), ("y", "a\u00a0b")], "id string, v string").withColumn("k", F.lit("f"))
+    got = {(r["id_a"], r["id_b"]) for r in reading.same_reading(d, ["k"], "id", "v").collect()}
+    assert got == {(f"{i:04d}", z) for i in range(1101) for z in "xy"}
+
+
 def greedy(text, most, overlap):
     """Reference walk with the same choice of boundary, one cut at a time."""
     cps, _ = at.to_codepoints(pa.array([text]))
