@@ -340,7 +340,7 @@ def composition_plans(s, d):
 
 def matched_skills(s, d):
     k = kb(s, d)
-    p = items(s, d).where("content is not null").select(F.col("item_id").alias("problem_id"), F.substring("content", 1, 80).alias("problem"))
+    p = items(s, d).where("content is not null").select(F.col("item_id").alias("problem_id"), F.col("content").alias("problem"))
     t = k.select(F.col("id").alias("skill_id"), F.concat_ws(" ", "title", F.array_join("tags", " "), F.substring("content", 1, 200)).alias("text"))
     return _six(skills.matched(p, t), "relevance")
 

@@ -236,3 +236,12 @@ def test_generation_sources(spark):
     a = spark.createDataFrame([("m", 0.1)], "id string, score double")
     b = spark.createDataFrame([("k", 9.0), ("l", 8.0)], "id string, score double")
     assert [r["id"] for r in skills.generation_sources(a, b, 2).collect()] == ["m", "k"]
+
+
+def test_matched_skills_take_whole_problems(spark, small):
+    from cairn.plans import queries as q
+
+    p = q.items(spark, small).where("content is not null").select(F.col("item_id").alias("problem_id"), F.col("content").alias("problem"))
+    t = q.kb(spark, small).select(F.col("id").alias("skill_id"), F.concat_ws(" ", "title", F.array_join("tags", " "), F.substring("content", 1, 200)).alias("text"))
+    want = {(r["problem_id"], r["skill_id"], round(r["relevance"], 6)) for r in skills.matched(p, t).collect()}
+    assert {tuple(r) for r in q.matched_skills(spark, small).select("problem_id", "skill_id", "relevance").collect()} == want
