@@ -43,7 +43,7 @@ NONE, EMAIL, PHONE, ID, ADDRESS, NAME = range(6)
 SAMPLE = 40_000
 FEATURE_BITS = 18
 ROUNDS = 4
-#: Words whose affixes and neighbours alone speak against a name by more than this are left out of the field.
+#: Words whose affixes and neighbours alone speak against a name by more than this at every mention in a text are left out of the field.
 FIRST_PASS = -2.0
 _F = 14
 
@@ -202,7 +202,7 @@ _SINGLE_CUE = re.compile(r"(?:我叫|名叫|姓名[：:]|联系人[：:]|我同
 
 
 def nodes(cps: np.ndarray, off: np.ndarray, text: str, field: Field | None) -> Nodes:
-    """All mentions of the flat text; with a field, words that can't be names by their affixes and neighbours are left out."""
+    """All mentions of the flat text; with a field, words that can't be names by their affixes and neighbours at any mention in their text are left out."""
     ws, we, row = w.word_spans(cps, off)
     empty = Nodes(*(np.empty(0, np.int64) for _ in range(2)), np.empty(0, np.uint64), np.empty((0, _F), np.int32), np.empty(0, np.int64))
     if not len(ws):
@@ -223,7 +223,9 @@ def nodes(cps: np.ndarray, off: np.ndarray, text: str, field: Field | None) -> N
     if field is not None:
         wt = field.weights
         quick = sum(wt[f[i], NAME] - wt[f[i], NONE] for f in (f_word, f_pre, f_suf, f_prev, f_next))
-        i = i[quick > FIRST_PASS]
+        # by word and text: one good mention keeps the others, which skip edges may then label
+        key = h[i] ^ w.mix(row[i].astype(np.uint64))
+        i = i[np.isin(key, key[quick > FIRST_PASS])]
     p2, n2 = around(-2), around(2)
     before = np.where(ws > 0, cps[np.maximum(ws - 1, 0)], 0) + (np.where(ws > 1, cps[np.maximum(ws - 2, 0)], 0).astype(np.int64) << 21)
     after = np.where(we < len(cps), cps[np.minimum(we, len(cps) - 1)], 0)

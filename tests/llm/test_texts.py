@@ -159,6 +159,15 @@ def test_field_on_held_out_rows(spark):
     assert "Talk to [NAME] first." in red[i]
 
 
+def test_first_pass_keeps_all_mentions_of_a_word():
+    field = pii.train(sample(1, 1500))
+    texts = ["My name is Velzek. The Velzek team merges old records.", "The Quibblat team merges old records."]
+    cps, off = pii._apart(*at.to_codepoints(pa.array(texts)))
+    flat = cps.tobytes().decode("utf-32-le")
+    nd = pii.nodes(cps, off, flat, field)
+    assert [flat[a:b] for a, b in zip(nd.start, nd.end)].count("Velzek") == 2
+
+
 def test_empty_tables(spark):
     e = spark.createDataFrame([], "id string, content string")
     field = pii.fitted(e, "id", "content")
