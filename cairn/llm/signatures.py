@@ -1,13 +1,14 @@
 """Signatures of texts for near-duplicate search: shared by problems 1 and 2.
 
-A text's alikeness to another is the Jaccard similarity of their sets of runs of
-three words, in reading form.  Texts with one and the same set form a class, known
+A text's alikeness to another is the Jaccard similarity of their sets of word runs,
+in reading form.  Texts with one and the same set form a class, known
 by a 64-bit fingerprint of the set; search runs over classes, so copies never
 meet each other pair by pair.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,8 @@ K = 64
 #: The sketch holds the lowest 3 bits of the first 63 coordinates, 21 to a long.
 SKETCHED, FIELDS = 63, 21
 _MASK = sum(1 << (3 * i) for i in range(FIELDS))
-#: Buckets of the rarity histogram: it has a fixed size whatever the data.
-RARITY_BITS = 21
+#: Part of the pairs at the threshold itself that signatures have to find; pairs that are more alike are lost less.
+RECALL = 0.9999
 
 SIGNED = [T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), *(T.StructField(f"s{i}", T.LongType()) for i in range(3)), T.StructField("sig", T.BinaryType()), T.StructField("shingles", T.BinaryType())]
 
@@ -34,8 +35,8 @@ def _binary(flat: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(np.ascontiguousarray(off, np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
 
 
-def sign(texts: pa.Array, width: int) -> tuple[np.ndarray, list[pa.Array]]:
-    """Rows that hold at least one shingle, and the columns of SIGNED for them."""
+def sign(texts: pa.Array, width: int, coords: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """Rows that hold at least one shingle, and the columns of SIGNED for them; ``sig`` holds the coordinates asked for."""
     h, off = w.shingle_sets(texts, width)
     n = np.diff(off)
     some = np.flatnonzero(n)
@@ -51,12 +52,12 @@ def sign(texts: pa.Array, width: int) -> tuple[np.ndarray, list[pa.Array]]:
         pa.array(fp.view(np.int64)),
         pa.array(n[some].astype(np.int32)),
         *(pa.array(np.ascontiguousarray(sketch[:, i]).view(np.int64)) for i in range(3)),
-        _binary(sig, np.arange(len(some) + 1) * (4 * K)),
+        _binary(np.ascontiguousarray(sig[:, coords]), np.arange(len(some) + 1) * (4 * len(coords))),
         _binary(h, ends * 8),
     ]
 
 
-def signed(df: DataFrame, text: str, width: int = 3) -> DataFrame:
+def signed(df: DataFrame, text: str, width: int, coords: np.ndarray) -> DataFrame:
     """``df`` without ``text`` but with the columns of SIGNED; texts without a shingle (null, or under ``width`` words) are left out: they are like nothing."""
     keep = [f for f in df.schema.fields if f.name != text]
     schema = T.StructType(keep + SIGNED)
@@ -65,7 +66,7 @@ def signed(df: DataFrame, text: str, width: int = 3) -> DataFrame:
         names = [f.name for f in schema]
         for whole in batches:
             for b in slices(whole, [text]):
-                rows, cols = sign(b.column(text), width)
+                rows, cols = sign(b.column(text), width, coords)
                 if len(rows):
                     yield pa.RecordBatch.from_arrays([b.column(f.name).take(pa.array(rows)) for f in keep] + cols, names)
 
@@ -73,75 +74,61 @@ def signed(df: DataFrame, text: str, width: int = 3) -> DataFrame:
 
 
 def sig_array(col: pa.Array) -> np.ndarray:
-    """(rows, K) signatures of a binary column without nulls."""
+    """(rows, coordinates) of a binary column of signatures without nulls."""
     n = len(col)
     at = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + n + 1]
-    return np.frombuffer(col.buffers()[2], np.uint32)[at[0] // 4 : at[-1] // 4].reshape(n, K)
+    flat = np.frombuffer(col.buffers()[2], np.uint32)[at[0] // 4 : at[-1] // 4]
+    return flat.reshape(n, -1) if n else flat.reshape(0, 0)
 
 
-def keys_of(sig: np.ndarray, space: np.ndarray | int, coords: np.ndarray | None = None) -> np.ndarray:
-    """One 64-bit key to each coordinate-value pair, apart for each space."""
-    coords = np.arange(K) if coords is None else coords
-    x = sig[:, coords].astype(np.uint64) | (coords.astype(np.uint64) << np.uint64(32))
-    return w.mix(x ^ (np.asarray(space, np.uint64).reshape(-1, 1) << np.uint64(40)))
+def hash_lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Flat 64-bit hashes of a binary column without nulls, and the row of each."""
+    n = len(col)
+    at = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + n + 1].astype(np.int64)
+    return np.frombuffer(col.buffers()[2], np.uint64)[at[0] // 8 : at[-1] // 8], np.repeat(np.arange(n), np.diff(at) // 8)
 
 
-def rarity(df: DataFrame, space: str) -> np.ndarray:
-    """How many rows of ``df`` post under each bucket of keys: 2**RARITY_BITS counts, a fixed size.
+def too_few(n: int, p: float, k: int) -> float:
+    """Chance that fewer than ``k`` of ``n`` coordinates collide, each with chance ``p``."""
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k))
 
-    Every row is counted.  Partial counts are made in each task; only the
-    histogram, never keys of documents, reaches the driver.
-    """
-    schema = "bucket int, n long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << RARITY_BITS, np.int64)
-        for b in batches:
-            if b.num_rows:
-                keys = keys_of(sig_array(b.column("sig")), b.column(space).to_numpy())
-                total += np.bincount((keys >> np.uint64(64 - RARITY_BITS)).ravel().astype(np.int64), minlength=len(total))
-        some = np.flatnonzero(total)
-        for at in range(0, len(some), 1 << 16):
-            x = some[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)), pa.array(total[x])], ["bucket", "n"])
-
-    got = df.select("sig", space).mapInArrow(run, schema).groupBy("bucket").agg(F.sum("n").cast("int").alias("n")).toArrow()
-    out = np.zeros(1 << RARITY_BITS, np.int32)
-    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
-    return out
+def least_fields(threshold: float, miss: float) -> int:
+    """Fewest colliding fields of the sketch that a pair at ``threshold`` has, but for a chance of ``miss``."""
+    p = threshold + (1 - threshold) / 8
+    return next(k for k in range(SKETCHED, -1, -1) if too_few(SKETCHED, p, k) <= miss)
 
 
-def alike_fields(a: str, b: str) -> Column:
-    """How many of the sketched coordinates collide between rows aliased a and b."""
-    different = F.lit(0)
-    for i in range(3):
-        x = F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))
-        y = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(_MASK))
-        different = different + F.bit_count(y)
-    return F.lit(SKETCHED) - different
+def colliding(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many of the sketched coordinates collide, row by row, between packed sketches."""
+    out = np.full(len(a[0]), SKETCHED, np.int16)
+    for x, y in zip(a, b):
+        d = (x ^ y).view(np.uint64)
+        d = (d | d >> np.uint64(1) | d >> np.uint64(2)) & np.uint64(_MASK)
+        out -= np.bitwise_count(d)
+    return out
 
 
-def least_fields(threshold: float, sigmas: float = 3.6) -> int:
-    """Fewest colliding fields of a pair at ``threshold``: mean less ``sigmas`` deviations."""
-    p = threshold + (1 - threshold) / 8
-    return int(SKETCHED * p - sigmas * (SKETCHED * p * (1 - p)) ** 0.5)
+def alike_sizes(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether two sets of these sizes can be alike enough (exact)."""
+    return np.minimum(a, b) >= np.maximum(a, b) * threshold
 
 
-def may_be_alike(a: str, b: str, threshold: float) -> Column:
-    """Size bound (exact) and collision count (to ``least_fields``) of a candidate pair."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (F.least(na, nb) >= F.greatest(na, nb) * threshold) & (alike_fields(a, b) >= least_fields(threshold))
+def expand(first: np.ndarray, count: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, first[i] + 0 .. count[i] - 1) in parts of about ``most``."""
+    total = np.cumsum(count)
+    a = 0
+    while a < len(count):
+        z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, side="right")))
+        c = count[a:z]
+        i = np.repeat(np.arange(a, z), c)
+        yield i, np.repeat(first[a:z] - (np.cumsum(c) - c), c) + np.arange(len(i))
+        a = z
 
 
 def overlap(a: pa.Array, b: pa.Array) -> np.ndarray:
     """Size of the intersection of two columns of sorted distinct 64-bit hashes, row by row."""
-
-    def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        n = len(col)
-        at = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + n + 1].astype(np.int64)
-        return np.frombuffer(col.buffers()[2], np.uint64)[at[0] // 8 : at[-1] // 8], np.repeat(np.arange(n), np.diff(at) // 8)
-
-    (ha, ra), (hb, rb) = flat(a), flat(b)
+    (ha, ra), (hb, rb) = hash_lists(a), hash_lists(b)
     h, r = np.concatenate([ha, hb]), np.concatenate([ra, rb])
     order = np.lexsort((h, r))
     h, r = h[order], r[order]
@@ -154,15 +141,15 @@ def overlap_udf(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(np.concatenate(parts).astype(np.int32)) if parts else pa.array([], pa.int32())
 
 
-def verified(pairs: DataFrame, classes: DataFrame, on: list[str], threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs (a, b) of class fingerprints with exact alikeness of at least ``threshold``."""
-    side = lambda x: classes.select(*on, F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"sh_{x}"))
-    both = pairs.join(side("a"), [*on, "a"]).join(side("b"), [*on, "b"])
+    side = lambda x: classes.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"sh_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.withColumn("common", overlap_udf("sh_a", "sh_b"))
-    return both.withColumn("alikeness", F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).where(F.col("alikeness") >= threshold).drop("sh_a", "sh_b", "n_a", "n_b", "common")
+    return both.withColumn("alikeness", F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).where(F.col("alikeness") >= threshold).select("a", "b", "alikeness")
 
 
-def classes_of(rows: DataFrame, on: list[str], extra: list[Column] | None = None) -> DataFrame:
+def classes_of(rows: DataFrame, extra: list[Column] | None = None) -> DataFrame:
     """One row for each set of shingles: its copies collapse before any pair is made."""
     same = [F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "sig", "shingles")]
-    return rows.groupBy(*on, "fp").agg(*same, *(extra or []))
+    return rows.groupBy("fp").agg(*same, *(extra or []))

@@ -103,15 +103,24 @@ def shingle_hashes(h: np.ndarray, woff: np.ndarray, n: int) -> tuple[np.ndarray,
     return acc, off
 
 
+#: Bits of a shingle's hash that are kept: with the row above them they sort as one number.
+SHINGLE_BITS = 48
+
+
 def distinct_by_row(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of each row."""
-    row = at.row_of(off)
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
-    keep = np.ones(len(h), bool)
-    keep[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    h, row = h[keep], row[keep]
-    return h, np.searchsorted(row, np.arange(len(off)))
+    """Sorted distinct hashes of each row, of SHINGLE_BITS bits."""
+    n, step, low = len(off) - 1, 1 << (64 - SHINGLE_BITS), _U((1 << SHINGLE_BITS) - 1)
+    parts, counts = [np.empty(0, np.uint64)], []
+    for a in range(0, n, step):
+        z = min(n, a + step)
+        row = np.repeat(np.arange(z - a, dtype=np.uint64), np.diff(off[a : z + 1]))
+        x = np.sort((row << _U(SHINGLE_BITS)) | (h[off[a] : off[z]] & low))
+        x = x[np.append(True, x[1:] != x[:-1])[: len(x)]]
+        counts.append(np.bincount((x >> _U(SHINGLE_BITS)).astype(np.int64), minlength=z - a))
+        parts.append(x & low)
+    out = np.zeros(n + 1, np.int64)
+    np.cumsum(np.concatenate([np.empty(0, np.int64), *counts]), out=out[1:])
+    return np.concatenate(parts), out
 
 
 def shingle_sets(col: pa.Array, n: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -127,12 +136,17 @@ def minhashes(h: np.ndarray, off: np.ndarray, k: int, seed: int = 1) -> np.ndarr
     if not len(full):
         return out
     rng = np.random.default_rng(seed)
-    mul = rng.integers(0, 2**63, k, np.int64).astype(np.uint64) * _U(2) + _U(1)
-    add = rng.integers(0, 2**63, k, np.int64).astype(np.uint64)
-    base = h ^ (h >> _U(32))
-    for j in range(k):
-        x = base * mul[j] + add[j]
-        x ^= x >> _U(29)
-        x *= _U(0xBF58476D1CE4E5B9)
-        out[full, j] = np.minimum.reduceat((x >> _U(32)).astype(np.uint32), off[:-1][full])
+    mul = rng.integers(0, 2**31, k, np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+    add = rng.integers(0, 2**32, k, np.int64).astype(np.uint32)
+    base = (mix(h) >> _U(32)).astype(np.uint32)
+    x, y, at = np.empty_like(base), np.empty_like(base), off[:-1][full]
+    for j in range(k):  # 32-bit steps, in place
+        np.add(base, add[j], out=x)
+        np.multiply(x, mul[j], out=x)
+        np.right_shift(x, np.uint32(15), out=y)
+        np.bitwise_xor(x, y, out=x)
+        np.multiply(x, np.uint32(0x2C1B3C6D), out=x)
+        np.right_shift(x, np.uint32(12), out=y)
+        np.bitwise_xor(x, y, out=x)
+        out[full, j] = np.minimum.reduceat(x, at)
     return out

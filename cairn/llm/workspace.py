@@ -15,14 +15,14 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session, else its checkpoint folder.
 
-    Only where neither is set and all executors are on this machine (a local
-    master, as in tests) an own temporary folder is used.
+    Only where neither is set and driver and executors are one process (a local
+    master) an own folder is made; on a cluster that is an error.
     """
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if got:
         return got
     master = spark.sparkContext.master
-    if not master.startswith("local"):
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     key = spark.sparkContext.applicationId
     if key not in _own:
@@ -33,7 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/cairn/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}.parquet"
+    """A new path in the shared folder; what is written there is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/cairn/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}.parquet"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -42,8 +42,8 @@ def test_near_duplicates(spark, threshold, width):
     members, links = neardup.near_duplicates(d, threshold, width)
     got = {(r["id_a"], r["id_b"]) for r in neardup.expanded(members, links).collect()}
     assert got <= want and len(got) >= 0.99 * len(want)
-    small = {(r["id_a"], r["id_b"]) for r in neardup.expanded(members, links, most=1).collect()}
-    assert small <= want
+    exact = neardup.near_duplicates(d, threshold, width, exact=True)
+    assert {(r["id_a"], r["id_b"]) for r in neardup.expanded(*exact).collect()} == want
     assert neardup.with_links(members, links).where("space = 1").first()["copies"] == 1
 
 
@@ -53,6 +53,15 @@ def test_all_pairs_of_a_large_class(spark):
     assert pairs.count() == 1101 * 1100 // 2 + 1101 == pairs.where("id_a < id_b").select("id_a", "id_b").distinct().count()
 
 
+def test_long_lists_meet_in_blocks(spark, monkeypatch):
+    texts = [f"{WORDS[i % 7]} one and the same text with some more words {WORDS[i]}" for i in range(60)]
+    d = spark.createDataFrame([(0, f"{i:03d}", t) for i, t in enumerate(texts)], "space int, id string, text string")
+    pairs = lambda: sorted((r["id_a"], r["id_b"]) for r in neardup.expanded(*neardup.near_duplicates(d, 0.5, 3)).collect())
+    whole = pairs()
+    monkeypatch.setattr(neardup, "LIST", 7)
+    assert pairs() == whole and len(whole) == len(set(whole)) > 1000
+
+
 def test_near_duplicates_of_nothing(spark):
     d = spark.createDataFrame([], "space int, id string, text string")
     assert neardup.expanded(*neardup.near_duplicates(d)).count() == 0
@@ -80,14 +89,66 @@ def test_history_in_crowded_ranges(spark):
     assert {r["id"] for r in got.collect()} == {x[0] for x in new}
 
 
-def test_forest_runs_and_merge(spark):
-    f = history.HashForest(spark, threshold=0.5, width=3)
+def batches(spark, texts, size, first=0):
+    return [spark.createDataFrame([(f"{b}-{i}", b, t) for i, t in enumerate(texts[b * size : b * size + size])], "id string, batch int, text string") for b in range(first, len(texts) // size)]
+
+
+def test_forest_goes_on_where_it_was(spark):
     texts = corpus(7, 60, 4)
-    for b in range(3):
-        f.add(spark.createDataFrame([(f"{b}-{i}", b, t) for i, t in enumerate(texts[b * 20 : b * 20 + 20])], "id string, batch int, text string"))
-    before = {r["fp"] for r in f.near(1).collect()}
-    f.merge()
-    assert f.runs == 1 and {r["fp"] for r in f.near(1).collect()} == before
+    sh = [shingles(t, 3) for t in texts]
+    want = [{f"{b}-{i}" for i in range(20) if any(alike(sh[20 * b + i], sh[j]) >= 0.5 for j in range(20 * b))} for b in range(3)]
+    path = None
+    for b, d in enumerate(batches(spark, texts, 20)):
+        f = history.HashForest(spark, path, threshold=0.5, width=3)  # opened again for each batch
+        path = f.path
+        assert {r["id"] for r in f.accept(d).collect()} == want[b]
+        assert len(f.runs) == b + 1
+    stored = lambda f: spark.read.parquet(*(f"{r}/classes/data" for r in f.runs)).select("fp").distinct().count()
+    before = stored(f)
+    assert before == len({frozenset(x) for x in sh if x})
+    f.merge(blocks=2)
+    assert len(f.runs) == 1 and stored(f) == before
+    keys = history.HashForest(spark, path, threshold=0.5, width=3)
+    again = keys.accept(spark.createDataFrame([("x", 9, texts[3]), ("y", 9, texts[44]), ("z", 9, "nothing like it at all")], "id string, batch int, text string"))
+    assert {r["id"] for r in again.collect()} == {"x", "y"} and len(keys.runs) == 2
+    with pytest.raises(ValueError):
+        history.HashForest(spark, path, threshold=0.8, width=3)
+
+
+def test_blocks_read_follow_the_batch_not_the_history(spark, monkeypatch):
+    monkeypatch.setattr(history, "BLOCK_BYTES", 4096)
+    f = history.HashForest(spark, threshold=0.8, width=3)
+    r = random.Random(3)
+    new = lambda n: [" ".join(r.choices(WORDS, k=30)) for _ in range(n)]
+
+    def touched():
+        batch = f.add(spark.createDataFrame([("q", 9, "a text of its own that nothing in this history is like")], "id string, batch int, text string"))
+        where = history.fences(spark, [f"{p}/trees" for p in f.runs[:-1]])
+        keys = history.tree_keys(batch.select("sig").toArrow().to_batches()[0]).ravel()
+        lo = keys >> history.SECOND << history.SECOND
+        return sum(len(b) for _, b in where.blocks(lo, lo + (1 << history.SECOND) - 1)), len(where.file)
+
+    f.add(spark.createDataFrame([(str(i), 0, t) for i, t in enumerate(new(2000))], "id string, batch int, text string"))
+    few, small = touched()
+    f = history.HashForest(spark, threshold=0.8, width=3)
+    f.add(spark.createDataFrame([(str(i), 0, t) for i, t in enumerate(new(16000))], "id string, batch int, text string"))
+    again, large = touched()
+    assert large > 4 * small and again <= few + 2 * f.trees
+
+
+def test_merge_of_a_key_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(history, "BLOCK_BYTES", 4096)
+    f = history.HashForest(spark, threshold=0.8, width=3)
+    rows = lambda b: spark.createDataFrame([(f"{b}-{i}", b, " ".join([*WORDS[:200], f"x{b}-{i}"])) for i in range(3000)], "id string, batch int, text string")
+    for b in range(2):
+        f.add(rows(b))
+    count = lambda: spark.read.parquet(*(f"{r}/trees/data" for r in f.runs)).select("key", "fp").distinct().count()
+    before = count()
+    f.merge(blocks=2)
+    got = spark.read.parquet(f"{f.runs[0]}/trees/data")
+    assert got.count() == count() == before
+    where = history.fences(spark, [f"{f.runs[0]}/trees"])
+    assert (where.low[1:] >= where.high[:-1]).all() and len(where.low) > 8
 
 
 def test_leaks(spark):
