@@ -9,11 +9,16 @@ The garbling cost is that of a character model: interpolated bigram counts over
 all texts of the corpus, kept in tables of fixed size.  Suspects don't vote for
 themselves: stretches that strictly decode as a multi-byte encoding aren't
 counted, and copies of a text count by the logarithm of their number.  Repairs into a multi-byte
-encoding work on maximal runs of strictly valid sequences; between two
+encoding work on maximal runs of strictly valid sequences of whole characters; between two
 single-byte encodings (and between two double-byte ones) characters correspond
-one to one, and the stretch is the span with the largest total drop.
-U+FFFD marks bytes already lost: such a text is garbled but can't be fully
-restored.
+one to one, and the stretches are the spans with the largest total drops.  All
+stretches of a text that don't overlap are taken at once, and again until no cost
+drops.  A stretch is only taken if garbling its repair gives it back.
+
+Texts are screened whole batches at a time: tables turn code points into bytes of
+each encoding, and only runs of high bytes that strictly decode are looked at one
+by one.  U+FFFD, stray controls and bytes left over beside a restored run mean
+that something was lost: such a text is garbled but not ``complete``.
 
 Defined results: null and empty texts are not garbled; texts of any length are
 read whole; redelivered rows give one row for each id and text.
@@ -21,9 +26,10 @@ read whole; redelivered rows give one row for each id and text.
 
 from __future__ import annotations
 
-import codecs
+import bisect
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -40,6 +46,9 @@ PAIR_BITS = 21
 _POINTS = 0x30000
 #: Drops of the garbling cost, in nats, from which a repair is taken: of all runs of one encoding in a text, and of a span.
 TAKE_RUN, TAKE_SPAN = 3.0, 9.0
+#: What a repair from the text's main encoding is preferred by, in nats.
+IN_DOUBT = 2.0
+#: Layers of one encoding that are undone in one step if that costs less than one by one.
 LAYERS = 4
 
 # Encodings that text is wrongly read in, by the encoding it was meant to be in.
@@ -51,25 +60,61 @@ ONE_TO_ONE = (
     ("big5hkscs", "gbk"), ("gbk", "big5hkscs"), ("cp932", "gbk"), ("euc_kr", "gbk"),
 )
 
-_UTF8 = re.compile(rb"(?:[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2})+")
-_UTF8_LONG = re.compile(rb"(?:[\xE3-\xE9][\x80-\xBF]{2}|\xEF[\xBC\xBD][\x80-\xBF]|\xE2[\x80-\x9F][\x80-\xBF]|[\xC3-\xC5][\x80-\xBF])+")
+_TWO, _THREE = rb"[\xC2-\xDF][\x80-\xBF]", rb"\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]"
+_FOUR = rb"\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2}"
+_UTF8 = re.compile(b"(?:" + b"|".join((_TWO, _THREE, _FOUR)) + b")+")
 _GBK = re.compile(rb"(?:[\xA1-\xF7][\xA1-\xFE]){2,}")
-_HIGH = re.compile(r"[^\x00-\x7f]+")
-#: UTF-8 read as GBK, at a length that GBK text doesn't reach by chance.
-_UTF8_IN_GBK = re.compile(rb"(?:[\xE3-\xE9][\x80-\xBF]{2}|\xEF[\xBC\xBD][\x80-\xBF]){3,}")
+#: UTF-8 read as GBK: letters, signs and ideographs; a trail byte may be an ASCII letter that was drawn in.
+_UTF8_IN_GBK = re.compile(rb"(?:(?:[\xE3-\xE9][\x80-\xBF]{2}|\xEF[\xBC\xBD][\x80-\xBF]|\xE2[\x80-\x9F][\x80-\xBF]|[\xC3-\xC5][\x80-\xBF])[\x40-\x7E]?)+")
+#: The same, at a length that GBK text doesn't reach by chance.
+_LONG_IN_GBK = re.compile(rb"(?:[\xE3-\xE9][\x80-\xBF]{2}|\xEF[\xBC\xBD][\x80-\xBF]){3,}")
+
 
+@lru_cache(None)
+def char_table(enc: str) -> np.ndarray:
+    """For each byte of a single-byte encoding its code point; undefined places hold the control of the same number."""
+    out = np.arange(256, dtype=np.uint32)
+    for b in range(128, 256):
+        try:
+            out[b] = ord(bytes([b]).decode(enc))
+        except UnicodeError:
+            pass
+    return out
 
-def _fallback(e: UnicodeEncodeError) -> tuple[bytes, int]:
-    """Undefined places of a code page hold the control of the same number; other characters end a run."""
-    return bytes(ord(c) if 0x80 <= ord(c) < 0xA0 else 0 for c in e.object[e.start : e.end]), e.end
 
+@lru_cache(None)
+def byte_table(enc: str) -> np.ndarray:
+    """For each code point its byte in a single-byte encoding, 0 if none."""
+    out = np.zeros(_POINTS, np.uint8)
+    out[char_table(enc)] = np.arange(256)
+    return out
 
-def _stop(e: UnicodeEncodeError) -> tuple[bytes, int]:
-    return b"\0" * (e.end - e.start), e.end
 
+@lru_cache(1)
+def gbk_table() -> np.ndarray:
+    """For each code point its two bytes in GBK, as one number, 0 if none."""
+    out = np.zeros(_POINTS, np.uint16)
+    for lead in range(0x81, 0xFF):
+        for trail in range(0x40, 0xFF):
+            try:
+                c = bytes([lead, trail]).decode("gbk")
+            except UnicodeError:
+                continue
+            if len(c) == 1 and c.encode("gbk") == bytes([lead, trail]):
+                out[ord(c)] = lead << 8 | trail
+    return out
 
-codecs.register_error("cairn_fallback", _fallback)
-codecs.register_error("cairn_stop", _stop)
+
+def gbk_bytes(cps: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Code points in GBK (0 for those that have no place there), and where the bytes of each begin, with the end."""
+    pair = gbk_table()[np.minimum(cps, _POINTS - 1)]
+    at_ = np.zeros(len(cps) + 1, np.int64)
+    np.cumsum(1 + (pair > 0), out=at_[1:])
+    out = np.zeros(at_[-1], np.uint8)
+    out[at_[:-1]] = np.where(pair > 0, pair >> 8, np.where(cps < 128, cps, 0))
+    two = np.flatnonzero(pair)
+    out[at_[two] + 1] = pair[two] & 255
+    return out.tobytes(), at_
 
 
 @lru_cache(None)
@@ -102,18 +147,9 @@ class Model:
         a, b = np.minimum(before, _POINTS - 1), np.minimum(here, _POINTS - 1)
         single = (self.ones[b] + 0.05) / (self.total + 1)
         weight = 4.0
-        return -np.log((self.pairs[pair_bucket(a, b)] + weight * single) / (self.ones[a] + weight))
-
-    def of_strings(self, before: list[str], texts: list[str]) -> np.ndarray:
-        """Total cost of each text after the character before it."""
-        flat, off = at.to_codepoints(pa.array([p + t for p, t in zip(before, texts)]))
-        if not len(texts):
-            return np.zeros(0)
-        c = np.zeros(len(flat))
-        c[1:] = self.cost(flat[:-1], flat[1:])
-        c[off[:-1]] = 0
-        ends = np.append(0, np.cumsum(c))
-        return ends[off[1:]] - ends[off[:-1]]
+        # a bucket may hold other pairs, too: no pair is more frequent than either character
+        both = np.minimum(self.pairs[pair_bucket(a, b)], np.minimum(self.ones[a], self.ones[b]))
+        return -np.log((both + weight * single) / (self.ones[a] + weight))
 
 
 def pair_bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -124,9 +160,36 @@ def pair_bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 _USUAL = re.compile(r"[\x80-\u017fƒˆ˜Ά-ώЁА-яё‐-›€№™\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3\uff00-\uff5e\U0001f300-\U0001faff]+")
 
 
-@lru_cache(None)
-def _gbk_lengths() -> np.ndarray:
-    return np.array([1 if c < 0x80 or 0xD800 <= c < 0xE000 else len(chr(c).encode("gbk", "cairn_stop")) for c in range(_POINTS)], np.int8)
+def _high_pairs(flat: np.ndarray) -> np.ndarray:
+    """Places where two characters of single-byte encodings beyond ASCII stand side by side."""
+    high = (flat >= 0x80) & (flat < 0x2E80)
+    return np.flatnonzero(high[:-1] & high[1:])
+
+
+def _matches(pattern: re.Pattern, flat: np.ndarray, pairs: np.ndarray, enc: str) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, bytes): maximal matches in the bytes of an encoding; tried only where two bytes can begin one."""
+    table = byte_table(enc)
+    a, c = table[flat[pairs]], table[flat[pairs + 1]]
+    starts = pairs[(a >= 0xC2) & (a < 0xF5) & (c >= 0x80) & (c < 0xC0)] if pattern is _UTF8 else pairs[(a >= 0xA1) & (a < 0xF8) & (c >= 0xA1)]
+    if not len(starts):
+        return
+    b, done = table[flat].tobytes(), 0
+    for s in starts.tolist():
+        if s >= done and (m := pattern.match(b, s)):
+            done = m.end()
+            yield s, done, m.group()
+
+
+def _utf8_in_gbk(pattern: re.Pattern, b: bytes) -> Iterator[tuple[int, int]]:
+    """Matches in GBK bytes, tried only where a sequence of UTF-8 can begin."""
+    raw = np.frombuffer(b + b"\0\0", np.uint8)
+    on = (raw & 0xC0) == 0x80
+    lead = raw[:-2]
+    done = 0
+    for s in np.flatnonzero(on[1:-1] & ((lead >= 0xC3) & (lead < 0xC6) | on[2:] & ((lead >= 0xE2) & (lead < 0xEA) | (lead == 0xEF)))).tolist():
+        if s >= done and (m := pattern.match(b, s)):
+            done = m.end()
+            yield s, done
 
 
 def suspects(cps: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -134,19 +197,18 @@ def suspects(cps: np.ndarray, off: np.ndarray) -> np.ndarray:
 
     Cyrillic words always decode as GBK, so that reading of them is no ground.
     """
-    flat, mask = np.insert(cps, off[1:], 10), np.zeros(len(cps) + len(off) - 1, bool)  # no stretch runs from one text into the next
-    narrow = np.where(flat < 0x2E80, flat, 0).astype(np.uint32).tobytes().decode("utf-32-le")
+    flat, mask = np.minimum(np.insert(cps, off[1:], 10), _POINTS - 1), np.zeros(len(cps) + len(off) - 1, bool)  # no stretch runs from one text into the next
+    pairs = _high_pairs(flat)
     for enc in dict.fromkeys(INTO_UTF8 + INTO_GBK):
-        b = narrow.encode(enc, "cairn_fallback" if enc == "cp1252" else "cairn_stop")
         for pattern in [_UTF8] * (enc in INTO_UTF8) + [_GBK] * (enc in INTO_GBK and enc != "cp1251"):
-            for m in pattern.finditer(b):
+            for s, e, b in _matches(pattern, flat, pairs, enc):
                 try:
-                    mask[m.start() : m.end()] |= bool(_USUAL.fullmatch(m.group().decode("utf-8" if pattern is _UTF8 else "gbk")))
+                    mask[s:e] |= bool(_USUAL.fullmatch(b.decode("utf-8" if pattern is _UTF8 else "gbk")))
                 except UnicodeError:
                     pass
-    ends = np.cumsum(_gbk_lengths()[np.minimum(flat, _POINTS - 1)], dtype=np.int64)
-    for m in _UTF8_IN_GBK.finditer(flat.astype(np.uint32).tobytes().decode("utf-32-le").encode("gbk", "cairn_stop")):
-        i, j = np.searchsorted(ends, (m.start(), m.end() - 1), side="right")
+    b, at_ = gbk_bytes(flat)
+    for s, e in _utf8_in_gbk(_LONG_IN_GBK, b):
+        i, j = np.searchsorted(at_[1:], (s, e - 1), side="right")
         mask[i : j + 1] = True
     return np.delete(mask, off[1:] + np.arange(len(off) - 1))
 
@@ -185,156 +247,212 @@ def character_model(df: DataFrame, text: str) -> Model:
     return Model(ones, pairs)
 
 
-def _run_repairs(texts: list[str]) -> list[tuple[int, str, int, int, str]]:
-    """(row, encoding, start, end, repaired): runs that strictly decode as a multi-byte encoding."""
-    out = []
-    for row, s in enumerate(texts):
-        for enc in INTO_UTF8:
-            b = s.encode(enc, "cairn_fallback" if enc == "cp1252" else "cairn_stop")
-            for m in _UTF8.finditer(b):
-                new = m.group().decode("utf-8")
-                out.append((row, f"{enc}>utf-8", m.start(), m.end(), new))
+@dataclass
+class Part:
+    """A stretch of a flat text that could be restored: where, from which encoding, to what; ``whole`` if no high byte beside it is left over."""
+
+    how: str
+    start: int
+    end: int
+    new: np.ndarray
+    whole: bool
+    drop: float = 0.0
+
+
+def _points(b: bytes, enc: str) -> np.ndarray:
+    return np.frombuffer(b.decode(enc).encode("utf-32-le"), np.uint32)
+
+
+def _run_repairs(flat: np.ndarray) -> list[Part]:
+    """Runs of flat code points that strictly decode as a multi-byte encoding."""
+    out, clip = [], np.minimum(flat, _POINTS - 1)
+    pairs = _high_pairs(clip)
+    for enc in dict.fromkeys(INTO_UTF8 + INTO_GBK):
+        table = byte_table(enc)
+        high = lambda i: bool(0 <= i < len(clip) and table[clip[i]] >= 0x80)  # noqa: B023, E731
+        if enc in INTO_UTF8:
+            for s, e, b in _matches(_UTF8, clip, pairs, enc):
+                new, whole = _points(b, "utf-8"), not (high(s - 1) or high(e))
+                out.append(Part(f"{enc}>utf-8", s, e, new, whole))
                 for again in range(2, LAYERS + 1):  # nested layers of the same kind within the run
-                    inner = new.encode(enc, "cairn_fallback" if enc == "cp1252" else "cairn_stop")
+                    inner = table[np.minimum(new, _POINTS - 1)].tobytes()
                     if not _UTF8.fullmatch(inner):
                         break
-                    new = inner.decode("utf-8")
-                    out.append((row, f"{enc}>utf-8 x{again}", m.start(), m.end(), new))
-        for enc in INTO_GBK:
-            b = s.encode(enc, "cairn_stop")
-            for m in _GBK.finditer(b):
-                try:
-                    out.append((row, f"{enc}>gbk", m.start(), m.end(), m.group().decode("gbk")))
-                except UnicodeError:
-                    pass
-        for run in _HIGH.finditer(s):
-            if run.end() - run.start() < 2:
-                continue
-            b = run.group().encode("gbk", "cairn_stop")
-            if not _UTF8_LONG.search(b):
-                continue
-            lens = [1 if x == "\0" else len(x.encode("gbk", "cairn_stop")) for x in run.group()]
-            ends = np.cumsum(lens)
-            for m in _UTF8_LONG.finditer(b):
-                # whole characters of the text only; a half one at either edge is left as it is
-                i = int(np.searchsorted(ends, m.start(), side="right")) + int(m.start() not in (0, *ends[max(0, np.searchsorted(ends, m.start()) - 0) : np.searchsorted(ends, m.start()) + 1]))
-                j = int(np.searchsorted(ends, m.end(), side="right"))
-                if j - i < 2:
-                    continue
-                part = run.group()[i:j].encode("gbk", "cairn_stop")
-                new = part.decode("utf-8", "ignore")
-                if len(new) >= 2 and len(new.encode("utf-8")) >= len(part) - 3:
-                    out.append((row, "gbk>utf-8", run.start() + i, run.start() + j, new))
-    return out
-
-
-def _span_repairs(texts: list[str], model: Model) -> list[tuple[int, str, int, int, str, float]]:
-    """(row, encoding, start, end, repaired, drop): for each row and pair of encodings the span with the largest drop."""
-    flat, off = at.to_codepoints(pa.array(texts, pa.string()))
-    n = len(flat)
-    if not n:
-        return []
+                    new = _points(inner, "utf-8")
+                    out.append(Part(f"{enc}>utf-8 x{again}", s, e, new, whole))
+        if enc in INTO_GBK:
+            for first, last, _ in _matches(_GBK, clip, pairs, enc):
+                # an odd byte at either end may be the one that stands apart
+                for s, e in [(first, last)] + [(first + 1, last + 1)] * high(last):
+                    b = table[clip[s:e]].tobytes()
+                    at_ = 0
+                    while at_ < len(b):
+                        try:
+                            z = len(b)
+                            new = _points(b[at_:], "gbk")
+                        except UnicodeDecodeError as x:
+                            z = at_ + x.start
+                            new = _points(b[at_:z], "gbk")
+                        if z - at_ >= 4:
+                            out.append(Part(f"{enc}>gbk", s + at_, s + z, new, not (high(s + at_ - 1) or high(s + z))))
+                        at_ = z + 2
+    b, at_ = gbk_bytes(flat)
+    raw = np.frombuffer(b, np.uint8)
+    begins = np.zeros(len(raw) + 1, bool)
+    begins[at_] = True
+    begins[:-1] &= (raw & 0xC0) != 0x80  # where a character begins on either reading
+    for s, e in _utf8_in_gbk(_UTF8_IN_GBK, b):
+        k = np.flatnonzero(begins[s : e + 1])
+        if e < len(raw) and not begins[e] and e in at_[np.searchsorted(at_, e) : np.searchsorted(at_, e) + 1]:
+            k = np.append(k, e - s)  # the run ends with a character, though what follows begins with a byte that goes on
+        if len(k) > 1:
+            i, j = np.searchsorted(at_, (s + k[0], s + k[-1]))
+            beside = (s + k[0] > 0 and raw[s + k[0] - 1] >= 0xE0 and s + k[0] > s) or k[-1] < e - s
+            out.append(Part("gbk>utf-8", int(i), int(j), _points(b[s + k[0] : s + k[-1]], "utf-8"), not beside))
+    return [p for p in out if np.array_equal(_garbled(p), flat[p.start : p.end])]
+
+
+def _garbled(p: Part) -> np.ndarray:
+    """The repair of a part garbled again, to be compared with what stands there."""
+    read_in, _, meant = p.how.partition(">")
+    meant, _, times = meant.partition(" x")
+    now = p.new
+    for _ in range(int(times or 1)):
+        b = now.astype(np.uint32).tobytes().decode("utf-32-le").encode(meant)
+        now = _points(b, "gbk") if read_in == "gbk" else char_table(read_in)[np.frombuffer(b, np.uint8)]
+    return now
+
+
+def _span_repairs(flat: np.ndarray, off: np.ndarray, model: Model) -> list[Part]:
+    """Spans between two encodings whose characters correspond one to one: of each rise of the summed drop in a text its best part."""
     here = np.minimum(flat, _POINTS - 1)
-    first = np.zeros(n, bool)
-    first[off[:-1][off[:-1] < n]] = True
-    before = np.empty(n, np.uint32)
-    before[0], before[1:] = 10, here[:-1]
-    before[first] = 10
-    base = model.cost(before, here)
-    row = at.row_of(off)
     high = here >= 0x80
+    touched = high.copy()
+    touched[1:] |= high[:-1]
+    place = np.flatnonzero(touched)  # nothing changes elsewhere
+    if not len(place):
+        return []
+    row = np.searchsorted(off, place, side="right") - 1
+    now = here[place]
+    prev = np.where(place > off[row], here[place - 1], 10)
+    base = model.cost(prev, now)
     out = []
     for read_in, meant in ONE_TO_ONE:
         table = swap_table(read_in, meant)
-        new = table[here]
-        moved = high & (new != here)
+        as_meant = lambda x: np.where(table[x] > 0, table[x], x)  # noqa: B023, E731
+        new = as_meant(now)
+        moved = new != now
         if not moved.any():
             continue
-        dead = high & (new == 0)
-        new = np.where(dead, here, new)
-        nb = np.empty(n, np.uint32)
-        nb[0], nb[1:] = 10, new[:-1]
-        nb[first] = 10
-        near = moved.copy()
-        near[1:] |= moved[:-1]
-        gain = np.zeros(n)
-        k = np.flatnonzero(near)
-        gain[k] = base[k] - model.cost(nb[k], new[k])
+        dead = table[now] == 0
+        new_prev = as_meant(prev)
+        gain = np.zeros(len(place))
+        k = np.flatnonzero(moved | (new_prev != prev))
+        gain[k] = base[k] - model.cost(new_prev[k], new[k])
         gain[dead] = -1e3
-        total = np.cumsum(gain)
-        shifted = (total - gain) - row * 1e7  # sums before each place, apart by rows
+        total = np.cumsum(gain) - row * 1e7
+        shifted = total - gain  # sums before each place, apart by rows
         low = np.minimum.accumulate(shifted)
-        best = total - row * 1e7 - low
+        best = total - low
         some = np.flatnonzero(best > TAKE_SPAN)
         if not len(some):
             continue
-        rows, at_ = np.unique(row[some], return_index=True)
-        for r, group in zip(rows, np.split(some, at_[1:])):
+        rise = np.cumsum(shifted <= low)  # a new low begins another rise
+        _, at_ = np.unique(rise[some], return_index=True)
+        for group in np.split(some, at_[1:]):
             end = int(group[np.argmax(best[group])])
-            start = int(off[r] + np.flatnonzero(shifted[off[r] : end + 1] <= low[end] + 1e-9)[-1])
+            start = int(np.searchsorted(rise, rise[end]))
             # pairs of garbled characters are likely once one is there: the new characters must be more usual by themselves, too
             k = start + np.flatnonzero(moved[start : end + 1])
-            if np.log((model.ones[np.minimum(new[k], _POINTS - 1)] + 1) / (model.ones[here[k]] + 1)).sum() <= 0:
-                continue
-            s, e = start - int(off[r]), end + 1 - int(off[r])
-            out.append((int(r), f"{read_in}>{meant}", s, e, new[start : end + 1].astype(np.uint32).tobytes().decode("utf-32-le"), float(best[end])))
+            if len(k) and np.log((model.ones[np.minimum(new[k], _POINTS - 1)] + 1) / (model.ones[now[k]] + 1)).sum() > 0:
+                s, e = int(place[k[0]]), int(place[k[-1]]) + 1
+                out.append(Part(f"{read_in}>{meant}", s, e, as_meant(here[s:e]).astype(np.uint32), True))
     return out
 
 
-def repair_layer(texts: list[str], model: Model) -> list[tuple[str, list[str]]]:
-    """One layer undone: each text and the repairs taken in it."""
-    found = _run_repairs(texts)
-    old = [texts[r][s:e] for r, _, s, e, _ in found]
-    prev = [texts[r][s - 1 : s] or "\n" for r, _, s, _, _ in found]
-    drop = model.of_strings(prev, old) - model.of_strings(prev, [x[4] for x in found])
-    best: dict[int, dict[str, list]] = {}
-    for (r, how, s, e, new), d in zip(found, drop):
-        if d > 0:
-            best.setdefault(r, {}).setdefault(how, []).append((d, s, e, new))
+def _drops(flat: np.ndarray, parts: list[Part], model: Model) -> None:
+    """Set how far the cost drops by each part, in its place: after the character before it and with the one after it."""
+    if not parts:
+        return
+    pad = np.append(flat, np.uint32(10)).astype(np.uint32)
+    lead = lambda p: pad[p.start - 1 : p.start] if p.start else np.array([10], np.uint32)
+
+    def costs(middles: list[np.ndarray]) -> np.ndarray:
+        strings = [np.concatenate([lead(p), x, pad[p.end : p.end + 1]]) for p, x in zip(parts, middles)]
+        ends = np.cumsum([len(x) for x in strings])
+        all_ = np.concatenate(strings)
+        c = np.zeros(len(all_) + 1)
+        c[2:] = model.cost(all_[:-1], all_[1:])
+        c[1 + np.append(0, ends[:-1])] = 0
+        return np.add.reduceat(c[1:], np.append(0, ends[:-1]))
+
+    for p, d in zip(parts, costs([flat[p.start : p.end] for p in parts]) - costs([p.new for p in parts])):
+        p.drop = float(d)
+
+
+def repair_layer(texts: list[str], model: Model) -> list[tuple[str, list[str], bool]]:
+    """One layer undone: each text, the repairs taken in it, and whether none of them left a byte beside it."""
+    plain, off0 = at.to_codepoints(pa.array(texts, pa.string()))
+    flat = np.insert(plain, off0[1:], 10)
+    off = off0 + np.arange(len(off0))
+    runs = _run_repairs(flat)
+    _drops(flat, runs, model)
+    by: dict[int, dict[str, list[Part]]] = {}
+    rows = np.searchsorted(off, [p.start for p in runs], side="right") - 1
+    for r, p in zip(rows, runs):
+        if p.drop > 0:
+            by.setdefault(int(r), {}).setdefault(p.how, []).append(p)
     # the runs of one encoding in a text bear each other out
-    best = {r: some for r, by in best.items() if (some := {how: x for how, x in by.items() if sum(p[0] for p in x) >= TAKE_RUN})}
-    spans = _span_repairs(texts, model)
-    # a span's drop in its place: after the unchanged character before it, with the one after it
-    prev = [texts[r][s - 1 : s] or "\n" for r, _, s, _, _, _ in spans]
-    after = [texts[r][e : e + 1] for r, _, _, e, _, _ in spans]
-    drop = model.of_strings(prev, [texts[x[0]][x[2] : x[3]] + y for x, y in zip(spans, after)]) - model.of_strings(prev, [x[4] + y for x, y in zip(spans, after)])
-    for (r, how, s, e, new, _), d in zip(spans, drop):
-        if d >= TAKE_SPAN:
-            best.setdefault(r, {}).setdefault(how, []).append((d, s, e, new))
+    by = {r: some for r, x in by.items() if (some := {how: ps for how, ps in x.items() if sum(p.drop for p in ps) >= TAKE_RUN})}
+    spans = _span_repairs(flat, off, model)
+    _drops(flat, spans, model)
+    for r, p in zip(np.searchsorted(off, [p.start for p in spans], side="right") - 1, spans):
+        if p.drop >= TAKE_SPAN:
+            by.setdefault(int(r), {}).setdefault(p.how, []).append(p)
     out = []
     for r, t in enumerate(texts):
-        taken = []
-        if r in best:
-            how, parts = max(best[r].items(), key=lambda x: sum(p[0] for p in x[1]))
-            for _, s, e, new in sorted(parts, key=lambda p: -p[1]):
-                t = t[:s] + new + t[e:]
-            taken = [how]
-        out.append((t, taken))
+        # the part that explains most comes first, others where they don't overlap; in doubt the encoding that explains most of the text
+        total = {how: sum(p.drop for p in ps) for how, ps in by.get(r, {}).items()}
+        main = max(total, key=total.get, default="")
+        taken: list[Part] = []
+        for p in sorted((p for ps in by.get(r, {}).values() for p in ps), key=lambda p: -p.drop - IN_DOUBT * (p.how == main)):
+            if not _overlaps(p, taken):
+                bisect.insort(taken, p, key=lambda q: q.start)
+        if taken:
+            pieces, at_ = [], int(off[r])
+            for p in taken:
+                pieces += [flat[at_ : p.start], p.new]
+                at_ = p.end
+            t = np.concatenate([*pieces, flat[at_ : off[r + 1] - 1]]).astype(np.uint32).tobytes().decode("utf-32-le")
+        out.append((t, list(dict.fromkeys(p.how for p in taken)), all(p.whole for p in taken)))
     return out
 
 
-def repair(texts: list[str], model: Model) -> list[tuple[str, list[str]]]:
-    """Repairs repeated until no cost drops: several stretches and nested layers."""
-    now, steps = list(texts), [[] for _ in texts]
+def _overlaps(p: Part, ordered: list[Part]) -> bool:
+    i = bisect.bisect_left(ordered, p.end, key=lambda q: q.start)
+    return i > 0 and ordered[i - 1].end > p.start
+
+
+def repair(texts: list[str], model: Model) -> list[tuple[str, list[str], bool]]:
+    """Repairs repeated until no cost drops: nested layers, and stretches that come to light with others."""
+    now, steps, whole = list(texts), [[] for _ in texts], [True] * len(texts)
     open_ = list(range(len(texts)))
-    for _ in range(LAYERS * 3):
-        if not open_:
-            break
-        got = repair_layer([now[i] for i in open_], model)
+    while open_:  # every round lowers the cost of what stays open
         more = []
-        for i, (t, taken) in zip(open_, got):
-            if taken:
-                now[i] = t
+        for i, (t, taken, ok) in zip(open_, repair_layer([now[i] for i in open_], model)):
+            if taken and t != now[i]:
+                now[i], whole[i] = t, whole[i] and ok
                 steps[i] += taken
                 more.append(i)
         open_ = more
-    return list(zip(now, steps))
+    return list(zip(now, steps, whole))
 
 
 def restored(df: DataFrame, key: str, text: str, model: Model | None = None) -> DataFrame:
     """(key, restored, repairs, complete): every garbled text with what could be restored.
 
-    ``complete`` is false if lost characters (U+FFFD) or stray controls remain.
+    ``complete`` is false if lost characters (U+FFFD), stray controls or bytes beside a
+    restored run remain.
     """
     model = model or character_model(df, text)
     shared = df.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
@@ -350,11 +468,11 @@ def restored(df: DataFrame, key: str, text: str, model: Model | None = None) ->
                 pick = pa.array(rows)
                 texts = b.column(text).take(pick).to_pylist()
                 got = repair(texts, shared.value)
-                keep = [i for i, (t, steps) in enumerate(got) if steps or "�" in t or any("\x80" <= c < "\xa0" for c in t)]
+                keep = [i for i, (t, steps, _) in enumerate(got) if steps or "�" in t or any("\x80" <= c < "\xa0" for c in t)]
                 if keep:
                     out = [got[i] for i in keep]
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(key).take(pick).take(pa.array(keep)), pa.array([t for t, _ in out], pa.string()), pa.array([s for _, s in out], pa.list_(pa.string())), pa.array([not re.search("[�\x80-\x9f]", t) for t, _ in out])],
+                        [b.column(key).take(pick).take(pa.array(keep)), pa.array([t for t, _, _ in out], pa.string()), pa.array([s for _, s, _ in out], pa.list_(pa.string())), pa.array([whole and not re.search("[�\x80-\x9f]", t) for t, _, whole in out])],
                         [key, "restored", "repairs", "complete"],
                     )
 

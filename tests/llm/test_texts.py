@@ -120,6 +120,34 @@ def test_round_trip_repair(spark):
     assert mojibake.restored(d.where("doc_id = 20000"), "doc_id", "text").count() == 0
 
 
+def test_all_stretches_of_a_text_are_restored(spark):
+    de, fr, zh = "Die größere Straße prüft Müller später.", "L'école déjà prête à côté de la décision.", "我喜欢可选的数据集，不喜欢自动的里程碑。"
+    rows = [(i, t) for i, t in enumerate([de, fr, zh] * 200)]
+    mixed = [(de, "utf-8", "cp1252"), (fr, "utf-8", "mac_roman"), (zh, "gbk", "latin-1"), (zh, "utf-8", "cp1251")]
+    parts = [mixed[i % 4] for i in range(40)]
+    whole = " plain words between. ".join(t for t, _, _ in parts)
+    garbled = " plain words between. ".join(t.encode(a).decode(b) if b != "cp1251" else "".join(mojibake.char_table(b)[list(t.encode(a))].astype("<u4").tobytes().decode("utf-32-le")) for t, a, b in parts)
+    twice = de.encode().decode("latin-1").encode().decode("latin-1")
+    d = spark.createDataFrame([*rows, (5000, garbled), (5001, twice), (5002, garbled[:2000] + whole)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in mojibake.restored(d, "doc_id", "text").collect()}
+    assert set(got) == {5000, 5001, 5002}
+    assert got[5000]["restored"] == whole and got[5000]["complete"] and got[5001]["restored"] == de
+
+
+def test_nothing_is_deleted_where_characters_were_lost(spark):
+    zh = "我喜欢可选的数据集，不喜欢自动的里程碑。"
+    rows = [(i, t) for i, t in enumerate([zh, "她每天检查数据集的里程碑，喜欢自动的可选项。"] * 300)]
+    bad = zh.encode().decode("gbk", "ignore")
+    gap = zh.encode()[:20].decode("cp1252", "ignore")
+    d = spark.createDataFrame([*rows, (9000, bad), (9001, "Notes: " + gap)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in mojibake.restored(d, "doc_id", "text").collect()}
+    r = got[9000]
+    # what can't be decoded is left as it stands: garbling the restored runs again gives the same text
+    back = re.sub(f"[{zh}]+", lambda m: m.group().encode().decode("gbk"), r["restored"])
+    assert r["restored"] != bad and back == bad and not r["complete"]
+    assert 9001 not in got or not got[9001]["complete"] or got[9001]["restored"].startswith("Notes: 我")
+
+
 def test_repair_of_a_third_garbled_alike(spark):
     r = random.Random(4)
     de = "für Müller größere Straße prüft Übergabe später schön Grüße Maß über können die der und mit Haus Weg Tag".split()
