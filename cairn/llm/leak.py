@@ -1,11 +1,12 @@
 """Evaluation texts leaking into training text (problem 6).
 
-Method: rare n-gram seeds, then Smith-Waterman alignment.  Every run of ``RUN``
-words of a passage holds several n-grams; the rarest of each run in the corpus
-(counted over all documents) is a seed, so whoever shares a run shares a seed.
-Documents are scanned for seeds in one pass without a shuffle; each document and
-item that meet are aligned word by word, which scores edited copies, and their
-longest common run is measured exactly.
+Method: rare n-gram seeds, then Smith-Waterman alignment.  Of every run of ``RUN``
+words of a passage the ``RAREST`` n-grams are seeds, counted over all documents; those
+that no document holds are none.  A document that holds a run holds its rarest, and
+an edited copy most often one that was left whole.  Documents are scanned for seeds
+without a shuffle; each document and item that meet are aligned word by word, which
+scores edited copies, and their longest common run is measured exactly.  An alignment
+is left out only if the words in common can't reach the score or the run.
 
 Items are a stated query set: they go through all documents in blocks of at
 most ``BLOCK`` words, which bounds what is broadcast.
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 from . import words as w
 from .workspace import slices
 
-RUN, GRAM = 16, 6
-BLOCK = 2_000_000
+RUN, GRAM, RAREST = 16, 5, 4
+#: Words of the passages that go through all documents at once.
+BLOCK = 4_000_000
 #: Scores of the alignment, in words.
 MATCH, MISMATCH, GAP = 2, -1, -1
 RESULT = "item_id long, run_words int, score double, covered double, first_word int, last_word int"
@@ -73,7 +75,7 @@ def gram_counts(docs: DataFrame, text: str, grams: np.ndarray) -> np.ndarray:
 
 
 def seeded(ids: np.ndarray, words: np.ndarray, off: np.ndarray, docs: DataFrame, text: str) -> Items:
-    """Choose as seeds the rarest n-gram of each run of RUN words."""
+    """Choose as seeds the RAREST n-grams of each run of RUN words that any document holds."""
     h, hoff = w.shingle_hashes(words, off, GRAM)
     grams = np.unique(h)
     counts = gram_counts(docs, text, grams) if len(grams) else np.zeros(0, np.int64)
@@ -84,8 +86,11 @@ def seeded(ids: np.ndarray, words: np.ndarray, off: np.ndarray, docs: DataFrame,
         a, b = hoff[i], hoff[i + 1]
         if b - a < span:
             continue
-        c = np.lib.stride_tricks.sliding_window_view(found[a:b], span)
-        chosen = np.unique(a + np.arange(len(c)) + c.argmin(axis=1))
+        held = np.where(found[a:b] > 0, found[a:b], np.iinfo(np.int64).max)
+        runs = np.lib.stride_tricks.sliding_window_view(held, span)
+        order = np.argsort(runs, axis=1, kind="stable")[:, :RAREST] + np.arange(len(runs))[:, None]
+        chosen = np.unique(order)
+        chosen = a + chosen[found[a + chosen] > 0]
         seeds.append(h[chosen])
         item.append(np.full(len(chosen), i))
     if not seeds:
@@ -135,14 +140,14 @@ def align(doc: np.ndarray, passage: np.ndarray) -> tuple[int, float, int, int]:
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", least_score: float = 0.5, least_run: int = RUN) -> DataFrame:
     """(doc_id, item_id, run_words, score, covered, first_word, last_word) of leaked items.
 
-    A pair is kept if it shares ``least_run`` consecutive words or its alignment
+    A pair that shares a seed is kept if it shares ``least_run`` consecutive words or its alignment
     reaches ``least_score`` of the passage's own score.  ``covered`` is the part of
     the passage in the longest run.
     """
     spark = docs.sparkSession
     items = items.where(F.col(passage).isNotNull()).select(F.col(item_id).alias("item_id"), F.col(passage).alias("passage")).distinct()
     # whole blocks of the query set; one block if it is small, as it usually is
-    size = items.agg(F.coalesce(F.sum(F.length("passage")), F.lit(0))).first()[0]
+    size = items.select((F.size(F.split("passage", r"(?U)[^\p{Alnum}]+")) + F.length(F.regexp_replace("passage", r"[^\p{IsHan}]", ""))).alias("n")).agg(F.coalesce(F.sum(F.col("n")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // BLOCK))
     out = None
     for i in range(blocks):
@@ -189,6 +194,9 @@ def _scan(docs: DataFrame, block: Items, doc_id: str, text: str, least_score: fl
                     margin = len(p) + RUN
                     lo, hi = max(0, int(place[a:z].min()) - margin), int(place[a:z].max()) + margin + GRAM
                     doc = words[woff[r] : woff[r + 1]][lo:hi]
+                    common = int(np.isin(doc, p).sum())  # no run and no score needs fewer
+                    if common < least_run and common < least_score * len(p):
+                        continue
                     longest, score, first, last = align(doc, p)
                     if longest >= least_run or score >= least_score * MATCH * len(p):
                         out.append((r, int(it.ids[i]), longest, round(score / (MATCH * len(p)), 6), round(longest / len(p), 6), lo + first, lo + last))

@@ -128,6 +128,7 @@ def _leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Of the alignments those that hold a run of 16 words, as the case is defined; p6_alignments has edited copies, too."""
     return _leaks(spark, d).where(F.col("run_words") >= leak.RUN).select("doc_id", "item_id").distinct()
 
 

@@ -175,6 +175,28 @@ def test_leaks(spark):
     assert leak.leaks(d.limit(0), it).count() == 0 and leak.leaks(d, it.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.2])
+def test_edited_copies_are_found(spark, share):
+    r = random.Random(int(share * 100))
+    passages = [r.choices(WORDS, k=r.randrange(30, 70)) for _ in range(10)]
+    docs = []
+    for i in range(150):
+        t = r.choices(WORDS, k=r.randrange(20, 60))
+        if i % 2:
+            p = list(r.choice(passages))
+            for k in range(len(p) - 1, -1, -1):
+                if r.random() < share:
+                    p[k : k + 1] = r.choice([[r.choice(WORDS)], [], [p[k], r.choice(WORDS)]])
+            t[7:7] = p
+        docs.append(t)
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
+    it = spark.createDataFrame([(j, " ".join(p)) for j, p in enumerate(passages)], "item_id long, passage string")
+    got = {(x["doc_id"], x["item_id"]) for x in leak.leaks(d, it).collect()}
+    code = lambda t: np.array([int(x[1:]) for x in t])
+    want = {(i, j) for i, t in enumerate(docs) for j, p in enumerate(passages) if leak.align(code(t), code(p))[1] >= 0.5 * leak.MATCH * len(p)}
+    assert len(want) >= 50 and got <= want and len(got) >= (0.9 if share > 0.1 else 0.95) * len(want)
+
+
 def test_alignment_is_smith_waterman():
     rng = np.random.default_rng(1)
     for _ in range(40):
