@@ -20,6 +20,7 @@ actual share of 0; a mix without tokens comes out empty.
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,32 +32,36 @@ from pyspark.sql import functions as F
 from . import words as w
 from .workspace import slices, written
 
-#: Tokens of a block, and output shards of a mix at most.
-LENGTH, SHARDS = 256, 256
+#: Tokens of a block, and blocks of an output shard.
+LENGTH, SHARD = 256, 4096
 #: Documents to a part of a source's order: parts are laid end to end by their sums.
 PART = 20_000
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how a byte-level BPE text is cut before its merges.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @lru_cache(2)
-def encoding(path: str):
+def encoding(vocabulary: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("mixing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(df: DataFrame, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``df`` with n_tokens (int) in place of ``text``; null texts have none."""
+def token_counts(df: DataFrame, text: str, tokenizer: str) -> DataFrame:
+    """``df`` with n_tokens (int) in place of ``text``; null texts have none.
+
+    ``tokenizer`` is the path of a vocabulary file on the driver; its content, a few
+    MB by its nature, goes to the executors.
+    """
     from pyspark.sql import types as T
 
+    with open(tokenizer, "rb") as f:
+        vocabulary = df.sparkSession.sparkContext.broadcast(f.read())
     keep = [f for f in df.schema.fields if f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(tokenizer)
+        enc = encoding(vocabulary.value)
         for whole in batches:
             for b in slices(whole, [text]):
                 n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(text).to_pylist()]
@@ -120,50 +125,56 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return x.astype(np.int64)
 
 
-def slot_counts(plan: list[dict], seed: int = 23) -> list[tuple]:
-    """(mix_name, source, shard, first_slot, slots, blocks, key) from rows with mix_name, source, slots and blocks."""
-    out = []
-    for mix in sorted({p["mix_name"] for p in plan}):
-        rows = sorted((p for p in plan if p["mix_name"] == mix and p["slots"] > 0), key=lambda p: p["source"])
-        if not rows:
-            continue
-        rng = np.random.default_rng([seed, *mix.encode()])
-        left = np.array([p["slots"] for p in rows], np.int64)
-        used = np.zeros(len(rows), np.int64)
-        keys = rng.integers(0, 2**62, len(rows))
-        shards = int(min(SHARDS, max(1, left.sum() // 64)))
-        for shard in range(shards):
-            total = int(left.sum())
-            size = total // (shards - shard)
-            drawn = _drawn(rng, left, size)
-            for p, k, d, u in zip(rows, keys, drawn, used):
-                if d:
-                    out.append((mix, p["source"], shard, int(u), int(d), int(p["blocks"]), int(k)))
-            left -= drawn
-            used += drawn
-    return out
-
-
-def _drawn(rng: np.random.Generator, left: np.ndarray, size: int) -> np.ndarray:
-    """How many of ``size`` slots fall to each source, drawn without replacement from what is left of the totals."""
-    out = np.zeros(len(left), np.int64)
-    rest = int(left.sum())
-    for i, n in enumerate(left):
-        rest -= int(n)
-        if size <= 0:
-            break
-        if int(n) + rest < 10**9:
-            out[i] = rng.hypergeometric(int(n), rest, size) if rest or n else 0
-        else:  # beyond numpy's range the binomial is as good
-            out[i] = max(min(rng.binomial(size, n / (n + rest)), int(n)), size - rest)
-        size -= int(out[i])
-    return out
+def hypergeometric(u: float, good: int, bad: int, size: int) -> int:
+    """How many of ``size`` draws without replacement are good, for a uniform ``u``: the distribution inverted, alike at every size."""
+    low, high = max(0, size - bad), min(good, size)
+    n = good + bad
+    if low >= high or not n:
+        return low
+    middle = min(high, max(low, (size + 1) * (good + 1) // (n + 2)))
+    # beyond twelve deviations there is less than a double can tell
+    reach = 12 + int(12 * math.sqrt(size * (good / n) * (bad / n) * ((n - size) / max(1, n - 1))))
+    first, last = max(low, middle - reach), min(high, middle + reach)
+    k = np.arange(first, last, dtype=np.float64)
+    step = np.log(good - k) + np.log(size - k) - np.log(k + 1) - np.log(bad - size + k + 1)
+    log_p = np.append(0.0, np.cumsum(step))
+    total = np.cumsum(np.exp(log_p - log_p.max()))
+    return first + int(min(np.searchsorted(total, u * total[-1], side="right"), last - first))
+
+
+@lru_cache(1 << 12)
+def _half(totals: tuple[int, ...], size: int, seed: tuple[int, ...]) -> tuple[int, ...]:
+    """What of each source's slots goes to the first half of some shards, of ``size`` slots."""
+    rng, rest, out = np.random.default_rng(seed), sum(totals), []
+    for n in totals:
+        rest -= n
+        out.append(hypergeometric(rng.random(), n, rest, size))
+        size -= out[-1]
+    return tuple(out)
+
+
+def shards_of(slots: int) -> int:
+    return -(-slots // SHARD)
+
+
+def shard_counts(totals: tuple[int, ...], shard: int, seed: tuple[int, ...]) -> tuple[list[int], list[int]]:
+    """(first, count) of the slots of each source in a shard, drawn without replacement from the mix's totals."""
+    a, z, left, first = 0, shards_of(sum(totals)), tuple(totals), [0] * len(totals)
+    while z - a > 1:
+        mid = (a + z) // 2
+        took = _half(left, min(sum(left), (mid - a) * SHARD), (*seed, a, z))
+        if shard < mid:
+            z, left = mid, took
+        else:
+            first = [f + t for f, t in zip(first, took)]
+            a, left = mid, tuple(n - t for n, t in zip(left, took))
+    return first, list(left)
 
 
 class Mix:
     """A plan carried out: ``pieces`` and ``shares`` as frames."""
 
-    def __init__(self, documents: DataFrame, plans: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, length: int = LENGTH) -> None:
+    def __init__(self, documents: DataFrame, plans: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = 23) -> None:
         spark = documents.sparkSession
         wanted = plans.where(F.col("source").isNotNull()).select("source").distinct()
         docs = documents.select(key, "source", text).join(wanted, "source", "left_semi").where(F.col(text).isNotNull())
@@ -180,26 +191,34 @@ class Mix:
             for p, n, t, g in zip(rows, tokens, target, given):
                 blocks = -(-int(n) // length)
                 p |= {"tokens": int(n), "target_tokens": float(t), "target_share": float(t / target.sum()) if target.sum() else float(p["target_weight"] / weight.sum()), "blocks": blocks, "slots": min(round(g / length), blocks * p["max_repeats"])}
-        self.length, self.key, self.spark = length, key, spark
+        self.length, self.key, self.spark, self.seed = length, key, spark, seed
 
     def slots(self) -> DataFrame:
         """(mix_name, source, shard, slot, pass, block): every slot with the block it maps to."""
-        rows = slot_counts(self.plan)
-        schema = "mix_name string, source string, shard int, first_slot long, slots long, blocks long, key long"
-        table = self.spark.createDataFrame(rows, schema).repartition(max(1, min(len(rows), self.spark.sparkContext.defaultParallelism * 4)))
+        mixes = []  # as many as the plan has
+        for name in sorted({p["mix_name"] for p in self.plan}):
+            rows = sorted((p for p in self.plan if p["mix_name"] == name and p["slots"] > 0), key=lambda p: p["source"])
+            if rows:
+                mixes.append((name, [p["source"] for p in rows], [p["blocks"] for p in rows], tuple(p["slots"] for p in rows), (self.seed, *name.encode())))
+        ends = np.cumsum([0, *(shards_of(sum(m[3])) for m in mixes)])
         step = 1 << 16
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for r in b.to_pylist():
-                    for a in range(0, r["slots"], step):
-                        slot = r["first_slot"] + np.arange(a, min(a + step, r["slots"]))
-                        turn = slot // r["blocks"]
-                        n = len(slot)
-                        block = permuted(slot % r["blocks"], np.full(n, r["blocks"]), w.mix(np.uint64(r["key"]) + turn.astype(np.uint64)))
-                        yield pa.RecordBatch.from_arrays([pa.array([r["mix_name"]] * n), pa.array([r["source"]] * n), pa.array(np.full(n, r["shard"], np.int32)), pa.array(slot), pa.array(turn.astype(np.int32)), pa.array(block)], ["mix_name", "source", "shard", "slot", "pass", "block"])
-
-        return table.mapInArrow(run, "mix_name string, source string, shard int, slot long, pass int, block long")
+            for i in (x for b in batches for x in b.column("id").to_pylist()):
+                m = int(np.searchsorted(ends, i, side="right")) - 1
+                name, sources, blocks, totals, seed = mixes[m]
+                shard = i - int(ends[m])
+                keys = np.random.default_rng(seed).integers(0, 2**62, len(sources)).astype(np.uint64)
+                for source, size, key, first, count in zip(sources, blocks, keys, *shard_counts(totals, shard, seed)):
+                    for a in range(0, count, step):
+                        slot = first + np.arange(a, min(a + step, count))
+                        turn, n = slot // size, len(slot)
+                        block = permuted(slot % size, np.full(n, size), w.mix(key + turn.astype(np.uint64)))
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array([source] * n), pa.array(np.full(n, shard, np.int32)), pa.array(slot), pa.array(turn.astype(np.int32)), pa.array(block)], ["mix_name", "source", "shard", "slot", "pass", "block"])
+
+        all_ = int(ends[-1])
+        parts = max(1, min(all_, max(self.spark.sparkContext.defaultParallelism, all_ // 64)))
+        return self.spark.range(0, all_, 1, parts).mapInArrow(run, "mix_name string, source string, shard int, slot long, pass int, block long")
 
     def blocks(self) -> DataFrame:
         """(source, block, key, token_from, n_tokens): the pieces of documents in each block."""

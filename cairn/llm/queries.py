@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,8 @@ from . import history, leak, mixing, mojibake, neardup, pii, reading, split
 
 #: Alikeness of entries and items, and the width of their word runs, as the data's problems state them.
 ALIKE, WIDTH = 0.5, 3
+#: Vocabulary file that the mixing queries count tokens with, unless CAIRN_TOKENIZER names another.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -139,12 +142,16 @@ def p6_alignments(spark: SparkSession, d: str) -> DataFrame:
 # 7. mixing
 
 
+def _mix(spark: SparkSession, d: str) -> mixing.Mix:
+    return mixing.Mix(_table(spark, d, "documents"), _table(spark, d, "mix_plans"), os.environ.get("CAIRN_TOKENIZER", TOKENIZER))
+
+
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.Mix(_table(spark, d, "documents"), _table(spark, d, "mix_plans")).pieces()
+    return _mix(spark, d).pieces()
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    mix = mixing.Mix(_table(spark, d, "documents"), _table(spark, d, "mix_plans"))
+    mix = _mix(spark, d)
     return mix.shares(mix.pieces())
 
 

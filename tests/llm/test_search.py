@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from cairn.llm import history, leak, mixing, neardup
+from cairn.llm import history, leak, mixing, neardup, queries
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -220,12 +220,37 @@ def test_allocation():
     assert mixing.allocate(np.array([50.0, 50.0]), np.array([10.0, 20.0])).tolist() == [10.0, 20.0]
 
 
+def test_hypergeometric():
+    from math import comb
+
+    u = (np.arange(20000) + 0.5) / 20000
+    got = np.bincount([mixing.hypergeometric(x, 7, 12, 9) for x in u], minlength=8) / len(u)
+    want = [comb(7, k) * comb(12, 9 - k) / comb(19, 9) for k in range(8)]
+    assert np.abs(got - want).max() < 1e-3
+    big = [mixing.hypergeometric(x, 3 * 10**9, 10**10, 10**9) for x in u[::2000]]
+    assert big == sorted(big) and abs(np.mean(big) - 10**9 * 3 / 13) < 10**5
+    assert mixing.hypergeometric(0.5, 0, 5, 3) == 0 and mixing.hypergeometric(0.5, 5, 0, 3) == 3
+
+
+def test_shards_share_out_the_totals(monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD", 10)
+    totals = (33, 0, 514, 7)
+    got = [mixing.shard_counts(totals, k, (1, 2)) for k in range(mixing.shards_of(sum(totals)))]
+    assert len(got) == 56 and all(sum(c) == 10 for _, c in got[:-1]) and sum(got[-1][1]) == 4
+    for j, n in enumerate(totals):
+        at = 0
+        for first, count in got:
+            assert first[j] == at or not count[j]
+            at += count[j]
+        assert at == n
+
+
 def test_mix(spark):
     r = random.Random(2)
     docs = [(i, s, " ".join(r.choices(WORDS, k=n))) for i, (s, n) in enumerate([("big", 300)] * 60 + [("small", 100)] * 6)] + [(900, None, "x"), (901, "big", None), (902, "big", "")]
     d = spark.createDataFrame(docs + [docs[0]], "doc_id long, source string, text string")
     plans = spark.createDataFrame([("m", "big", 1.0, 2, 0.5), ("m", "small", 1.0, 3, 0.5), ("m", "none", 1.0, 3, 0.5)], "mix_name string, source string, target_weight double, max_repeats int, budget_share double")
-    m = mixing.Mix(d, plans, length=64)
+    m = mixing.Mix(d, plans, queries.TOKENIZER, length=64)
     pieces = m.pieces()
     rows = pieces.collect()
     assert rows and sorted(map(str, rows)) == sorted(map(str, pieces.collect()))
@@ -237,4 +262,4 @@ def test_mix(spark):
     assert shares["none"]["actual_tokens"] == 0 and shares["small"]["most_uses"] == 3
     assert abs(shares["small"]["actual_tokens"] - 3 * shares["small"]["tokens"]) <= 64 * 3
     assert abs(sum(r["actual_share"] for r in shares.values()) - 1) < 1e-9
-    assert mixing.Mix(d.limit(0), plans).pieces().count() == 0
+    assert mixing.Mix(d.limit(0), plans, queries.TOKENIZER).pieces().count() == 0
