@@ -245,8 +245,11 @@ def nodes(cps: np.ndarray, off: np.ndarray, text: str, field: Field | None) -> N
             e += 1
         if e > s + 2:
             special.append((s, e, NAME))
+    taken = np.zeros(len(text) + 1, bool)
+    for a, z, _ in special:
+        taken[a:z] = True
     for m in _SINGLE_CUE.finditer(text):
-        if not special or not any(a <= m.start(1) < b for a, b, _ in special[-400:]):
+        if not taken[m.start(1)]:
             special.append((m.start(1), m.end(1), NAME))
     is_after = np.isin(h, _STREET_KEYS[0])
     street = np.flatnonzero(is_after | np.isin(h, _STREET_KEYS[1]))
