@@ -8,10 +8,16 @@ by skip potentials, so that loopy message passing makes a document label them
 alike.  Labels are EMAIL, PHONE, ID_NUMBER, ADDRESS, NAME and none.
 
 Training is piecewise: unary weights by multinomial logistic regression, pair
-potentials from label frequencies.  There are no labelled rows, so labels of the
-training rows come from plain cues ("my name is", "call", "地址："); the field then
-carries over to mentions without a cue.  The training sample is bounded by
-``SAMPLE`` rows, chosen by hash; detection reads every text whole.
+potentials from label frequencies.  There are no labelled rows.  Sentences made by
+rule of common names carry exact labels; rows of the corpus get theirs from plain
+cues ("my name is", "call", "地址："), and words that cues often mark as names are
+names at their other mentions, too, so that the field learns the contexts of this
+corpus and not those of the cues.  The training sample is bounded by ``SAMPLE``
+rows, chosen by hash; detection reads every text whole.
+
+Words written in Latin letters are mentions one by one, chained where they follow
+each other; every stretch of Han characters that begins with a family name is one
+with a given name of one and one with two characters, of which the likelier stays.
 
 Texts are read in reading form; spans are traced back, so that everything around
 a placeholder stays as it was.
@@ -33,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
+from . import names
 from . import words as w
 from .reading import traced
 from .workspace import slices
@@ -41,11 +48,17 @@ LABELS = ("none", "email", "phone", "id_number", "address", "name")
 NONE, EMAIL, PHONE, ID, ADDRESS, NAME = range(6)
 #: Rows of the training sample (bounded, whatever the tables' sizes).
 SAMPLE = 40_000
+#: Labelled mentions of that sample that a field is fitted on, and three times as many of plain words.
+MENTIONS = 60_000
 FEATURE_BITS = 18
 ROUNDS = 4
 #: Words whose affixes and neighbours alone speak against a name by more than this at every mention in a text are left out of the field.
 FIRST_PASS = -2.0
-_F = 14
+_F = 16
+#: Weight of a mention in a sentence made by rule.
+EXACT = 6.0
+#: Weight of a Han stretch of the corpus that no cue marks.
+OPEN = 0.15
 
 # Compound family names written with two characters, and common ones with one.
 COMPOUND = "欧阳 太史 端木 上官 司马 东方 独孤 南宫 万俟 闻人 夏侯 诸葛 尉迟 公羊 赫连 澹台 皇甫 宗政 濮阳 公冶 太叔 申屠 公孙 慕容 仲孙 钟离 长孙 宇文 司徒 鲜于 司空 闾丘 子车 亓官 司寇 巫马 公西 颛孙 壤驷 公良 漆雕 乐正 宰父 谷梁 拓跋 夹谷 轩辕 令狐 段干 百里 呼延 东郭 南门 羊舌 微生 公户 公玉 梁丘 左丘 东门 西门 第五".split()
@@ -58,11 +71,11 @@ STREET_ENDING = "straße strasse weg gasse allee platz ring ufer damm steig".spl
 # Cues that label the training rows. {N} stands for a name.
 _NAME = r"[^\W\d_]+(?:-[^\W\d_]+)?(?: [^\W\d_]\.)?(?: [^\W\d_]{3,}(?:-[^\W\d_]+)?)?"
 NAME_CUES = [
-    r"\b(?:my name is|i'm|i am|talk to|i met|thanks to|contact person:|signed,|the landlord,|dear|cheers,|as dr\.|dr\.|me llamo|hablar con|je m'appelle|voir avec|ich heiße|ansprechpartner:|frau|herr)\s+({N})(?=\s+(?:first|for|antes|hat|said|please)\b|[.,;\n]|\s*$|\s{2})",
+    r"\b(?:my name is|i'm|i am|contact person:|signed,|dear|cheers,|regards,|dr\.|mr\.|mrs\.|ms\.|me llamo|je m'appelle|ich heiße|ansprechpartner:|frau|herr|señor|señora|monsieur|madame)\s+({N})(?=[.,;:!?\n]|\s*$|\s{2}|\s+[^\W\d_A-ZÀ-Þ]+\b)",
+    r"\b(?:talk to|i met|thanks to|the landlord,|as dr\.|hablar con|voir avec)\s+({N})(?=\s+(?:first|for|antes|hat|said|please)\b|[.,;\n]|\s*$|\s{2})",
     r"(?:^|[.!?\n]\s*)({N}) (?:approved the|said, wait|hat zugesagt)",
-    r"(?:我叫|名叫|先找|联系人：|联系人:|我同事)([一-鿿]{2,4}?)(?=[。，,.\s]|确认|负责|老师|$)",
-    r"(?:^|[。！？\n])([一-鿿]{3,4})老师已经",
 ]
+HAN_CUES = [r"(?:我叫|名叫|先找|姓名[：:]|联系人[：:]|我同事)([一-鿿]{2,4}?)(?=[。，,.！!？?\s]|确认|负责|老师|$)", r"(?:^|[。！？\n])([一-鿿]{3,4})老师已经"]
 PHONE_CUE = re.compile(r"(?:\b(?:tel|tél|phone|mobile|call|text me on|my number is|joignable au|rückruf unter|llamar al|móvil|teléfono|telefon|fax)\b\.?\s*:?\s*|电话[：:]?|手机[：:]?|打)$", re.I)
 PHONE_AFTER = re.compile(r"^\s?(?:\(mobile\)|找我|after lunch)", re.I)
 ID_CUE = re.compile(r"(?:passport/id|national id:|id number|ssn/ni no\.|registered with|identity number|d'identité(?: n°| :|:)?|dni/nie|documento de identidad:|ausweisnummer|ausweis-nr\.:|身份证是|身份证号|身份证：|证件号码：|证件号码:)\s*$", re.I)
@@ -176,6 +189,14 @@ def _feature(kind: int, values: np.ndarray) -> np.ndarray:
     return (w.mix(values.astype(np.uint64) ^ w.mix(np.array([kind], np.uint64))) >> np.uint64(64 - FEATURE_BITS)).astype(np.int32)
 
 
+def _stretch_hash(cps: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Hash of stretches of at most four characters."""
+    out = np.zeros(len(s), np.uint64)
+    for d in range(4):
+        out = w.mix(out + np.where(s + d < e, cps[np.minimum(s + d, max(0, len(cps) - 1))] if len(cps) else 0, 0).astype(np.uint64))
+    return out
+
+
 def _text_feature(kind: int, value: str) -> int:
     return zlib.crc32(f"{kind} {value}".encode("utf-8", "replace")) & ((1 << FEATURE_BITS) - 1)
 
@@ -198,7 +219,39 @@ def _word_keys(words: list[str]) -> np.ndarray:
 
 _STREET_KEYS = _word_keys(STREET_AFTER), _word_keys(STREET_BEFORE)
 _COMPOUND_KEYS = np.sort(np.array([ord(c[0]) << 21 | ord(c[1]) for c in COMPOUND], np.int64))
-_SINGLE_CUE = re.compile(r"(?:我叫|名叫|姓名[：:]|联系人[：:]|我同事|先找)([" + SINGLE + r"][一-鿿]{1,2}?)(?=[。，,.\s]|确认|负责|老师|$)")
+_GIVEN_KEYS = _word_keys(names.GIVEN)
+
+
+def _is_han(c: np.ndarray) -> np.ndarray:
+    return (c >= 0x4E00) & (c < 0xA000)
+
+
+_HAN_KINDS = _feature(47, np.array([f * 4 + m for f in (1, 2) for m in (1, 2)]))
+
+
+def han_names(cps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, features) of stretches that begin with a family name, with one and with two characters more."""
+    pad = np.concatenate([[0, 0], cps, [0] * 6]).astype(np.int64)
+    at_ = lambda k: pad[k + 2]
+    s = np.flatnonzero(np.isin(cps, [ord(c) for c in SINGLE]))
+    double = np.flatnonzero(np.isin(pad[2:-7] << 21 | pad[3:-6], _COMPOUND_KEYS)) if len(cps) else s
+    starts = np.concatenate([s, s, double, double])
+    family = np.repeat([1, 1, 2, 2], [len(s), len(s), len(double), len(double)])
+    more = np.repeat([1, 2, 1, 2], [len(s), len(s), len(double), len(double)])
+    ends = starts + family + more
+    whole = np.ones(len(starts), bool)
+    for d in (1, 2, 3):
+        whole &= (starts + d >= ends) | _is_han(at_(starts + d))
+    starts, ends, family, more = starts[whole], ends[whole], family[whole], more[whole]
+    first, last = at_(starts + family), at_(ends - 1)
+    rank = lambda c: np.where(np.isin(c, [ord(x) for x in names.HAN_GIVEN]), 2, np.where(np.isin(c, [ord(x) for x in names.HAN_OTHER]), 1, 0))
+    usual = rank(first) * 3 + rank(last)
+    prev, prev2, nxt, nxt2 = at_(starts - 1), at_(starts - 2), at_(ends), at_(ends + 1)
+    surname = at_(starts) * 4 + family
+    kind = family * 4 + more
+    edge = lambda c: np.where(_is_han(c), 1, np.where(c < 0x80, 2, 3))
+    cols = [surname, first, last * 4 + more, prev, nxt, prev2 << 21 | prev, nxt << 21 | nxt2, kind, kind * 16 + usual, edge(prev) * 4 + edge(nxt), first << 21 | last, surname << 21 | first, nxt * 16 + kind, prev * 16 + kind, usual * 16 + edge(prev) * 4 + edge(nxt), usual]
+    return starts, ends, np.stack([_feature(40 + j, c) for j, c in enumerate(cols)], axis=1) if len(starts) else np.empty((0, _F), np.int32)
 
 
 def nodes(cps: np.ndarray, off: np.ndarray, text: str, field: Field | None) -> Nodes:
@@ -219,38 +272,47 @@ def nodes(cps: np.ndarray, off: np.ndarray, text: str, field: Field | None) -> N
     pre = at_(ws) | at_(ws + 1) << np.uint64(21) | at_(ws + 2) << np.uint64(42)
     suf = back(1) | back(2) << np.uint64(21) | back(3) << np.uint64(42)
     p1, n1 = around(-1), around(1)
-    f_word, f_pre, f_suf, f_prev, f_next = (_feature(k, v) for k, v in ((1, h), (2, pre), (3, suf), (4, p1), (5, n1)))
+    # what is known of the word and its neighbours: a common given name, a capital; neighbours after one blank or hyphen
+    upper = cps[ws] != c[ws]
+    known = np.isin(h, _GIVEN_KEYS).astype(np.uint64) * np.uint64(2) + upper
+    beside = np.zeros(n, bool)
+    beside[1:] = (ws[1:] - we[:-1] == 1) & (row[1:] == row[:-1]) & np.isin(cps[we[:-1]], (32, 45))
+    before_it = np.zeros(n, np.uint64)
+    before_it[1:] = np.where(beside[1:], known[:-1] + np.uint64(1), 0)
+    after_it = np.zeros(n, np.uint64)
+    after_it[:-1] = np.where(beside[1:], known[1:] + np.uint64(1), 0)
+    f_known = _feature(15, known * np.uint64(64) + before_it * np.uint64(8) + after_it)
+    f_word, f_pre, f_suf, f_prev, f_next, f_given = (_feature(k, v) for k, v in ((1, h), (2, pre), (3, suf), (4, p1), (5, n1), (16, known)))
     if field is not None:
         wt = field.weights
-        quick = sum(wt[f[i], NAME] - wt[f[i], NONE] for f in (f_word, f_pre, f_suf, f_prev, f_next))
+        quick = sum(wt[f[i], NAME] - wt[f[i], NONE] for f in (f_word, f_pre, f_suf, f_prev, f_next, f_known, f_given))
         # by word and text: one good mention keeps the others, which skip edges may then label
         key = h[i] ^ w.mix(row[i].astype(np.uint64))
-        i = i[np.isin(key, key[quick > FIRST_PASS])]
+        some = np.zeros(n, bool)
+        some[i[np.isin(key, key[quick > FIRST_PASS])]] = True
+        # and so are words with a capital beside one, which may be the rest of its name
+        beside &= upper & np.append(False, upper[:-1])
+        for _ in range(2):
+            some[1:] |= some[:-1] & beside[1:]
+            some[:-1] |= some[1:] & beside[1:]
+        i = np.flatnonzero(some & latin)
     p2, n2 = around(-2), around(2)
     before = np.where(ws > 0, cps[np.maximum(ws - 1, 0)], 0) + (np.where(ws > 1, cps[np.maximum(ws - 2, 0)], 0).astype(np.int64) << 21)
     after = np.where(we < len(cps), cps[np.minimum(we, len(cps) - 1)], 0)
-    upper = cps[ws] != c[ws]
     second = cps[np.minimum(ws + 1, len(cps) - 1)] != c[np.minimum(ws + 1, len(cps) - 1)]
     shape = upper.astype(np.uint64) * np.uint64(2) + second.astype(np.uint64)
     suf4 = suf ^ w.mix(back(4))
     feats = [f_word, f_pre, f_suf, f_prev, f_next]
-    cols = [f[i] for f in feats] + [_feature(6, p2[i]), _feature(7, n2[i]), _feature(8, before[i].astype(np.uint64)), _feature(9, after[i].astype(np.uint64)), _feature(10, shape[i]), _feature(11, suf4[i]), _feature(12, p1[i] ^ w.mix(p2[i])), _feature(13, n1[i] ^ w.mix(n2[i])), _feature(14, shape[i] * 0)]
+    cols = [f[i] for f in feats] + [_feature(6, p2[i]), _feature(7, n2[i]), _feature(8, before[i].astype(np.uint64)), _feature(9, after[i].astype(np.uint64)), _feature(10, shape[i]), _feature(11, suf4[i]), _feature(12, p1[i] ^ w.mix(p2[i])), _feature(13, n1[i] ^ w.mix(n2[i])), _feature(14, shape[i] * 0), f_known[i], f_given[i]]
     parts = [(ws[i], we[i], h[i], np.stack(cols, axis=1), np.full(len(i), NAME))]
-    # Han names: a compound family name and one or two characters more
-    han = np.flatnonzero(np.isin(cps[:-1].astype(np.int64) << 21 | cps[1:].astype(np.int64), _COMPOUND_KEYS)) if len(cps) > 1 else np.empty(0, np.int64)
+    hs, he, hf = han_names(cps)
+    if field is not None and len(hs):
+        score = sum(field.weights[hf[:, j], NAME] - field.weights[hf[:, j], NONE] for j in range(_F))
+        hw = _stretch_hash(cps, hs, he) ^ w.mix(np.searchsorted(off, hs, side="right").astype(np.uint64))
+        k = np.isin(hw, hw[score > FIRST_PASS])
+        hs, he, hf = hs[k], he[k], hf[k]
+    parts.append((hs, he, _stretch_hash(cps, hs, he), hf, np.full(len(hs), NAME)))
     special: list[tuple[int, int, int]] = []
-    for s in han.tolist():
-        e = s + 2
-        while e < min(s + 4, len(text)) and "一" <= text[e] <= "鿿":
-            e += 1
-        if e > s + 2:
-            special.append((s, e, NAME))
-    taken = np.zeros(len(text) + 1, bool)
-    for a, z, _ in special:
-        taken[a:z] = True
-    for m in _SINGLE_CUE.finditer(text):
-        if not taken[m.start(1)]:
-            special.append((m.start(1), m.end(1), NAME))
     is_after = np.isin(h, _STREET_KEYS[0])
     street = np.flatnonzero(is_after | np.isin(h, _STREET_KEYS[1]))
     special += spans(text, list(zip(ws[street].tolist(), we[street].tolist(), is_after[street].tolist())))
@@ -267,16 +329,14 @@ def nodes(cps: np.ndarray, off: np.ndarray, text: str, field: Field | None) -> N
             valid = k == PHONE and (len(digits) in (17, 18) and _valid_date(digits[6:14]) and digits[0] != "0")
             street = _STREET_WORD.search(x) if k == ADDRESS else None
             rows_.append(
-                [_text_feature(20, x.lower() if k == NAME else ""), _text_feature(21, shape_), _text_feature(22, str(len(digits)) if k == PHONE else ""), _text_feature(23, lw[-1] if lw else ""), _text_feature(24, rw[0] if rw else ""), _text_feature(25, lh), _text_feature(26, right[:2] if ord(right[:1] or " ") > 0x2E80 else " ".join(rw[:2])), _text_feature(27, str(k)), _text_feature(28, street.group().lower() if street else ""), _text_feature(29, f"{k}{valid}"), _text_feature(30, x[:1] if k == PHONE and not x[0].isdigit() else ""), _text_feature(31, x[:2] if k == NAME else ""), _text_feature(32, f"{shape_} {lw[-1] if lw else ''}"), _text_feature(33, str(k))]
+                [_text_feature(20, x.lower() if k == NAME else ""), _text_feature(21, shape_), _text_feature(22, str(len(digits)) if k == PHONE else ""), _text_feature(23, lw[-1] if lw else ""), _text_feature(24, rw[0] if rw else ""), _text_feature(25, lh), _text_feature(26, right[:2] if ord(right[:1] or " ") > 0x2E80 else " ".join(rw[:2])), _text_feature(27, str(k)), _text_feature(28, street.group().lower() if street else ""), _text_feature(29, f"{k}{valid}"), _text_feature(30, x[:1] if k == PHONE and not x[0].isdigit() else ""), _text_feature(31, x[:2] if k == NAME else ""), _text_feature(32, f"{shape_} {lw[-1] if lw else ''}"), *[_text_feature(33 + j, str(k)) for j in range(3)]]
             )
         s, e, k = (np.array(v, np.int64) for v in zip(*special))
         parts.append((s, e, np.array([_hash(text[a:b].lower()) for a, b, _ in special], np.uint64), np.array(rows_, np.int32), k))
     start, end, word, feat, kind = (np.concatenate([p[j] for p in parts]) for j in range(5))
     # words inside another mention give way to it
-    order = np.lexsort((start, kind == NAME))
     cover = np.zeros(len(cps) + 1, np.int32)
     big = kind != NAME
-    big |= np.arange(len(kind)) >= len(parts[0][0])
     np.add.at(cover, start[big], 1)
     np.add.at(cover, end[big], -1)
     inside = np.cumsum(cover)[start] > 0
@@ -299,7 +359,7 @@ def edges(nd: Nodes, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def infer(nd: Nodes, off: np.ndarray, field: Field) -> np.ndarray:
-    """Labels by loopy max-product message passing over chain and skip edges."""
+    """Labels by loopy max-product message passing over chain and skip edges; of names that overlap the likelier stays."""
     unary = np.zeros((len(nd.feats), len(LABELS)), np.float32)
     for j in range(_F):
         unary += field.weights[nd.feats[:, j]]
@@ -312,7 +372,7 @@ def infer(nd: Nodes, off: np.ndarray, field: Field) -> np.ndarray:
     unary = np.where(allow[nd.kind], unary, -30.0)
     chain, skip = edges(nd, off)
     if not len(chain) and not len(skip):
-        return unary.argmax(axis=1)
+        return _apart_names(nd, unary)
     e = np.concatenate([chain, skip])
     pot = np.concatenate([np.broadcast_to(field.chain, (len(chain), *field.chain.shape)), np.broadcast_to(field.skip, (len(skip), *field.skip.shape))])
     fwd, bwd = np.zeros((len(e), len(LABELS))), np.zeros((len(e), len(LABELS)))
@@ -326,23 +386,50 @@ def infer(nd: Nodes, off: np.ndarray, field: Field) -> np.ndarray:
         new_f = ((belief[e[:, 0]] - bwd)[:, :, None] + pot).max(axis=1)
         new_b = ((belief[e[:, 1]] - fwd)[:, None, :] + pot).max(axis=2)
         fwd, bwd = new_f - new_f.max(axis=1, keepdims=True), new_b - new_b.max(axis=1, keepdims=True)
-    return gathered().argmax(axis=1)
+    return _apart_names(nd, gathered())
+
 
+def _apart_names(nd: Nodes, belief: np.ndarray) -> np.ndarray:
+    label = belief.argmax(axis=1)
+    margin = belief[:, NAME] - belief[:, NONE]
+    hit = np.flatnonzero(label == NAME)
+    hit = hit[np.argsort(nd.start[hit], kind="stable")]
+    near = np.flatnonzero(nd.start[hit][1:] < nd.end[hit][:-1]) if len(hit) else hit
+    if len(near):
+        taken: dict[int, int] = {}
+        group = np.unique(np.concatenate([hit[near], hit[near + 1]]))
+        for i in group[np.argsort(-margin[group], kind="stable")].tolist():
+            span = range(int(nd.start[i]), int(nd.end[i]))
+            if any(x in taken for x in span):
+                label[i] = NONE
+            else:
+                taken.update(dict.fromkeys(span, i))
+    return label
 
-_CUES = [re.compile(c.replace("{N}", _NAME), re.I | re.M) for c in NAME_CUES]
 
+_CUES = [re.compile(c.replace("{N}", _NAME), re.I | re.M) for c in NAME_CUES + HAN_CUES]
+UNKNOWN = -1
 
-def cued_labels(text: str, nd: Nodes) -> np.ndarray:
-    """Training labels of mentions from plain cues around them."""
+
+def cued_names(text: str) -> list[tuple[int, int]]:
+    """Places that plain cues mark as names."""
+    return [m.span(1) for p in _CUES for m in p.finditer(text)]
+
+
+def cued_labels(text: str, nd: Nodes, places: list[tuple[int, int]]) -> np.ndarray:
+    """Training labels of mentions: names at ``places``, the others from plain cues around them."""
     out = np.zeros(len(nd.start), np.int64)
     named = np.zeros(len(text) + 1, bool)
-    for p in _CUES:
-        for m in p.finditer(text):
-            named[m.start(1) : m.end(1)] = True
-    for j, (s, e, k) in enumerate(zip(nd.start.tolist(), nd.end.tolist(), nd.kind.tolist())):
-        if k == NAME:
-            out[j] = NAME if named[s] and e - s > 1 else NONE
-            continue
+    exact = set(places)
+    for s, e in places:
+        named[s:e] = True
+    first = np.frombuffer(text.encode("utf-32-le"), np.uint32)[nd.start] if len(nd.start) else np.empty(0, np.uint32)
+    name, han = nd.kind == NAME, _is_han(first)
+    out[name & ~han & named[nd.start] & (nd.end - nd.start > 1)] = NAME
+    for j in np.flatnonzero(name & han & named[nd.start]).tolist():
+        out[j] = NAME if (int(nd.start[j]), int(nd.end[j])) in exact else NONE
+    for j in np.flatnonzero(~name).tolist():
+        s, e, k = int(nd.start[j]), int(nd.end[j]), int(nd.kind[j])
         left, right = text[max(0, s - 40) : s], text[e : e + 20]
         if k == EMAIL:
             out[j] = EMAIL
@@ -355,14 +442,74 @@ def cued_labels(text: str, nd: Nodes) -> np.ndarray:
     return out
 
 
-def train(texts: list[str], steps: int = 120, seed: int = 3) -> Field:
-    """Fit a field on a bounded list of texts labelled by cues."""
-    parts, chains, skips, labels, base = [], [], [], [], 0
-    for i in range(0, max(1, len(texts)), 2000):  # in parts: a batch's arrays are many times its text
-        cps, off = _apart(*traced(*at.to_codepoints(pa.array(texts[i : i + 2000], pa.string())))[:2])
+def spread(text: str, nd: Nodes, y: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Labels with the names of ``known`` (sorted word hashes) at all mentions with a capital; other Han stretches with two-character family names are left open."""
+    same = (nd.kind == NAME) & np.isin(nd.word, known)
+    for j in np.flatnonzero(same & (y == NONE)).tolist():
+        if text[nd.start[j]] != text[nd.start[j]].lower() or "一" <= text[nd.start[j]] <= "鿿":
+            y[j] = NAME
+    first = np.frombuffer(text.encode("utf-32-le"), np.uint32)[np.minimum(np.stack([nd.start, nd.start + 1]), len(text) - 1)].astype(np.int64)
+    y[(nd.kind == NAME) & (y == NONE) & np.isin(first[0] << 21 | first[1], _COMPOUND_KEYS)] = UNKNOWN
+    return y
+
+
+def _fit_two(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int) -> np.ndarray:
+    """Weights of features by logistic regression: one label against none."""
+    out = np.zeros(1 << FEATURE_BITS, np.float32)
+    used, inv = np.unique(x, return_inverse=True)
+    inv = inv.reshape(x.shape)
+    d, acc = np.zeros(len(used)), np.full(len(used), 1e-8)
+    for _ in range(steps if len(x) else 0):
+        g = (1 / (1 + np.exp(-d[inv].sum(axis=1))) - y) * weight
+        grad = np.bincount(inv.ravel(), np.repeat(g, x.shape[1]), len(used)) + 0.004 * d
+        acc += grad * grad
+        d -= 0.3 * grad / np.sqrt(acc)
+    out[used] = d
+    return out
+
+
+def _fit(x: np.ndarray, t: np.ndarray, weight: np.ndarray, steps: int) -> np.ndarray:
+    """Weights of features by multinomial logistic regression."""
+    weights = np.zeros((1 << FEATURE_BITS, len(LABELS)), np.float32)
+    used, inv = np.unique(x, return_inverse=True)
+    inv = inv.reshape(x.shape)
+    one = np.eye(len(LABELS))[t]
+    wts, acc = np.zeros((len(used), len(LABELS))), np.full((len(used), len(LABELS)), 1e-8)
+    for _ in range(steps if len(x) else 0):
+        z = wts[inv].sum(axis=1)
+        z -= z.max(axis=1, keepdims=True)
+        p = np.exp(z)
+        p /= p.sum(axis=1, keepdims=True)
+        g = (p - one) * weight[:, None]
+        grad = np.stack([np.bincount(inv.ravel(), np.repeat(g[:, c], x.shape[1]), len(used)) for c in range(len(LABELS))], axis=1) + 0.004 * wts
+        acc += grad * grad
+        wts -= 0.3 * grad / np.sqrt(acc)
+    weights[used] = wts
+    return weights
+
+
+def train(texts: list[str], steps: int = 200, seed: int = 3) -> Field:
+    """Fit a field on a bounded list of texts labelled by cues, and on sentences made by rule."""
+    made = names.sentences(SINGLE, COMPOUND)
+    got: list[tuple[str, Nodes, np.ndarray, np.ndarray]] = []
+    for i in range(0, len(texts) + 1, 2000):  # in parts: a batch's arrays are many times its text
+        some = texts[i : i + 2000] or ["."]
+        cps, off = _apart(*traced(*at.to_codepoints(pa.array(some, pa.string())))[:2])
         text = cps.tobytes().decode("utf-32-le")
         nd = nodes(cps, off, text, None)
-        labels.append(cued_labels(text, nd))
+        got.append((text, nd, off, cued_labels(text, nd, cued_names(text))))
+    # words that cues mark as names at least twice, and at one in ten of their mentions
+    word, label = (np.concatenate([x[nd_.kind == NAME] for _, nd_, *y_ in got for x in [f(nd_, y_)]]) for f in (lambda n, y: n.word, lambda n, y: y[1]))
+    each, inv = np.unique(word, return_inverse=True)
+    marked = np.bincount(inv, label == NAME, len(each))
+    known = each[(marked >= 2) & (marked >= 0.1 * np.bincount(inv, minlength=len(each)))]
+    got = [(t, nd, off, spread(t, nd, y, known)) for t, nd, off, y in got]
+    cps, off = _apart(*at.to_codepoints(pa.array([t for t, _ in made], pa.string())))
+    nd = nodes(cps, off, text := cps.tobytes().decode("utf-32-le"), None)
+    got.append((text, nd, off, cued_labels(text, nd, [(int(a) + s, int(a) + e) for a, (_, ps) in zip(off, made) for s, e in ps])))
+    parts, chains, skips, labels, base = [], [], [], [], 0
+    for _, nd, off, y in got:
+        labels.append(y)
         c, k = edges(nd, off)
         chains.append(c + base)
         skips.append(k + base)
@@ -372,37 +519,30 @@ def train(texts: list[str], steps: int = 120, seed: int = 3) -> Field:
     y, chain, skip = np.concatenate(labels), np.concatenate(chains), np.concatenate(skips)
     rng = np.random.default_rng(seed)
     plain = np.flatnonzero((y == NONE) & (kind == NAME))
-    some = np.flatnonzero((y != NONE) | (kind != NAME))
-    drawn = rng.choice(plain, min(len(plain), max(20_000, 8 * len(some))), replace=False) if len(plain) else plain
-    k = np.concatenate([some, drawn])
+    # all words of the sentences made by rule, whose labels are exact
+    exact = np.arange(len(y)) >= base - len(labels[-1])
+    plain = plain[~exact[plain]]
+    some = np.flatnonzero(((y != NONE) | (kind != NAME) | exact) & (y != UNKNOWN))
+    draw = lambda a, n: rng.choice(a, min(len(a), n), replace=False) if len(a) else a
+    k = np.concatenate([some[exact[some]], draw(some[~exact[some]], MENTIONS), draw(plain, 3 * MENTIONS)])
     x, t = feats[k], y[k]
-    weight = np.where(t == NONE, 1.0, 2.0)
-    weights = np.zeros((1 << FEATURE_BITS, len(LABELS)))
-    scale = np.full(weights.shape, 1e-8)
-    one = np.eye(len(LABELS))[t]
-    used, inv = np.unique(x, return_inverse=True)
-    inv = inv.reshape(x.shape)
-    wts, acc = weights[used], scale[used]
-    for _ in range(steps if len(k) else 0):
-        z = wts[inv[:, 0]]
-        for j in range(1, _F):
-            z += wts[inv[:, j]]
-        z -= z.max(axis=1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
-        g = (p - one) * weight[:, None]
-        grad = np.stack([np.bincount(inv.ravel(), np.repeat(g[:, c], _F), len(used)) for c in range(len(LABELS))], axis=1) + 0.004 * wts
-        acc += grad * grad
-        wts -= 0.3 * grad / np.sqrt(acc)
-    weights[used] = wts
+    # a Han stretch without a cue may be a name all the same: it says less than a sentence made by rule
+    open_ = np.isin(x[:, 7], _HAN_KINDS) & ~exact[k] & (t == NONE)
+    weight = np.where(t == NONE, 1.0, 2.0) * np.where(exact[k], EXACT, np.where(open_, OPEN, 1.0))
+    weights = np.zeros((1 << FEATURE_BITS, len(LABELS)), np.float32)
+    # names and the other kinds have no feature in common: two models, the first of two labels
+    name = kind[k] == NAME
+    weights[:, NAME] += _fit_two(x[name], t[name] == NAME, weight[name], steps)
+    weights += _fit(x[~name], t[~name], weight[~name], steps)
 
     def pair(e: np.ndarray, strength: float) -> np.ndarray:
         joint = np.full((len(LABELS), len(LABELS)), 0.5)
+        e = e[(y[e] != UNKNOWN).all(axis=1)]
         np.add.at(joint, (y[e[:, 0]], y[e[:, 1]]), 1)
         joint /= joint.sum()
         return strength * np.clip(np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True))), -3, 3)
 
-    skip_pot = np.maximum(pair(skip, 0.5), 0) * np.eye(len(LABELS)) if len(skip) else np.eye(len(LABELS)) * 0.5
+    skip_pot = np.maximum(pair(skip, 1.0), 0) * np.eye(len(LABELS)) if len(skip) else np.eye(len(LABELS)) * 0.5
     return Field(weights.astype(np.float32), pair(chain, 0.5), skip_pot)
 
 

@@ -187,6 +187,30 @@ def test_field_on_held_out_rows(spark):
     assert "Talk to [NAME] first." in red[i]
 
 
+PLAIN = [
+    ("Yesterday Sarah Connor came by", ["Sarah", "Connor"]), ("Emma told Lucas that the index was stale", ["Emma", "Lucas"]), ("Gestern kam Anna Schneider vorbei", ["Anna", "Schneider"]),
+    ("Hier soir, Camille Dupont nous a rejoints", ["Camille", "Dupont"]), ("The budget was signed off by Daniel Kowalski and Laura Becker", ["Daniel", "Kowalski", "Laura", "Becker"]), ("Could you forward this to Thomas?", ["Thomas"]),
+    ("Nobody but Olivia Hartmann has the key", ["Olivia", "Hartmann"]), ("Le dossier de Julien Mercier est complet", ["Julien", "Mercier"]), ("El correo de Javier Ortega rebotó", ["Javier", "Ortega"]), ("Julia hat den Termin verschoben", ["Julia"]),
+    ("张伟说他会晚到", ["张伟"]), ("陈建国负责仓库，后来陈建国退休了", ["陈建国", "陈建国"]), ("我叫王小明，昨天王小明来了", ["王小明", "王小明"]), ("Robert's laptop broke", ["Robert"]),
+]
+
+
+def test_names_in_sentences_of_other_makes():
+    field = pii.train(sample(1, 1500))
+    raw, _, row, s, e, label = pii._mentions(pa.array([t for t, _ in PLAIN]), field)
+    flat = raw.tobytes().decode("utf-32-le")
+    want = [(i, n) for i, (_, ns) in enumerate(PLAIN) for n in ns]
+    got = [(int(r), flat[a:b]) for r, a, b, k in zip(row, s, e, label) if k == pii.NAME]
+    assert sum(x in got for x in want) >= 0.85 * len(want)
+
+
+def test_no_name_is_left_half(spark):
+    field = pii.train(sample(1, 1500))
+    d = spark.createDataFrame([(0, "My name is Sarah Connor"), (1, "我叫王小明，昨天王小明来了")], "id long, content string")
+    got = {r["id"]: r["content"] for r in pii.redacted(d, "content", field).collect()}
+    assert got == {0: "My name is [NAME]", 1: "我叫[NAME]，昨天[NAME]来了"}
+
+
 def test_first_pass_keeps_all_mentions_of_a_word():
     field = pii.train(sample(1, 1500))
     texts = ["My name is Velzek. The Velzek team merges old records.", "The Quibblat team merges old records."]
