@@ -69,6 +69,41 @@ def top(df: DataFrame, k: int, score: str = "score") -> DataFrame:
     return df.where(F.col(score) > 0).orderBy(F.col(score).desc(), "id").limit(k)
 
 
+#: Parts that the memories under one search token are spread over.
+SPREAD = 16
+
+
+def recalled(queries: DataFrame, entries: DataFrame, k: int = 20) -> DataFrame:
+    """(keyword, id, score): the best ``k`` memories for each of many short queries (keyword), as ``search_ltm`` gives them one by one.
+
+    BM25 over the whole pool, and 0.5 where a query token lies inside the tags.  Only
+    ids and counts are shuffled, under tokens that are spread over SPREAD parts; tags
+    meet tokens by the substrings of their distinct words.  A null or blank query,
+    and one without tokens, has no rows; scores are compared to nine digits.
+    """
+    asked = queries.select("keyword", F.explode(tx.search_tokens("keyword")).alias("token")).groupBy("keyword", "token").agg(F.count("*").alias("times"))
+    docs = entries.select("id", tx.search_tokens(corpus("content", "category")).alias("tokens")).withColumn("len", F.size("tokens"))
+    held = docs.select("id", "len", F.explode("tokens").alias("token")).groupBy("id", "len", "token").agg(F.count("*").alias("tf"))
+    df = held.groupBy("token").agg(F.count("*").alias("df"))
+    pool = docs.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
+    log_idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    mean = df.groupBy("df").agg(F.count("*").alias("terms")).crossJoin(F.broadcast(pool)).agg((F.sum(F.col("terms") * log_idf) / F.sum("terms")).alias("mean"))
+    idf = df.join(asked.select("token").distinct(), "token").crossJoin(F.broadcast(pool)).crossJoin(F.broadcast(mean))  # one row each
+    idf = idf.select("token", "avg", F.when(log_idf < 0, EPSILON * F.col("mean")).otherwise(log_idf).alias("idf"))
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+    part = held.join(idf, "token").select("token", "id", weight.alias("weight"), F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int").alias("salt"))
+    spread = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    text = spread.join(part, ["token", "salt"]).groupBy("keyword", "id").agg(F.sum(F.col("times") * F.col("weight")).alias("score"))
+    words = entries.select("id", F.explode(F.array_distinct(F.filter(F.split(_tags(), " "), lambda w: w != ""))).alias("word"))
+    n = F.length("word")
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda m: F.substring(F.col("word"), i, m))))
+    inside = words.select("word").distinct().withColumn("token", F.explode(F.array_distinct(pieces))).join(asked, "token").select("word", "keyword").distinct()
+    tagged = words.join(inside, "word").select("keyword", "id").distinct().withColumn("score", F.lit(0.5))
+    both = text.unionByName(tagged).groupBy("keyword", "id").agg(F.round(F.sum("score"), 9).alias("score")).where("score > 0")
+    by = Window.partitionBy("keyword").orderBy(F.col("score").desc(), "id")
+    return both.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= k).drop("_r")
+
+
 def _any_in(c: Column, terms: list[str]) -> Column:
     return tx.contains_any(c, terms) if terms else F.lit(False)
 

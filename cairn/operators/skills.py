@@ -2,7 +2,8 @@
 
 Problems are rows (problem_id, problem); frameworks and templates are small fixed
 tables.  Everything is array expressions and joins with those tables; memories
-meet the keywords of problems by an equi-join on search tokens.
+meet the keywords of problems by an equi-join on search tokens, ids only, and bring
+their contents when the best are known.
 """
 
 from __future__ import annotations
@@ -69,23 +70,33 @@ def item_relevance(content: Column, tags: Column, category: Column, keyword: Col
     return F.least(F.lit(1.0), F.when(F.coalesce(content.contains(keyword), F.lit(False)), 0.4).otherwise(0.0) + F.when(in_tags, 0.3).otherwise(0.0) + F.when(F.coalesce(category.isin("discussion", "insight", "method"), F.lit(False)), 0.2).otherwise(0.0) + 0.1)
 
 
-def gathered(problems: DataFrame, memories: DataFrame, k: int = 10) -> DataFrame:
-    """(problem_id, id, keyword, content, tags, category, relevance): memories that hold a keyword of a problem as a word, best ``k`` for each problem."""
-    keys = problems.select("problem_id", F.explode(tx.keywords("problem")).alias("keyword")).withColumn("token", F.lower("keyword"))
-    words = memories.select("id", "content", "tags", "category", F.explode(F.array_distinct(tx.search_tokens(search.corpus("content", "category")))).alias("token"))
-    d = words.join(keys, "token").withColumn("relevance", item_relevance(F.col("content"), F.col("tags"), F.col("category"), F.col("keyword")))
+def gathered(problems: DataFrame, memories: DataFrame, k: int = 10, each: int = 20) -> DataFrame:
+    """(problem_id, id, keyword, content, tags, category, relevance): memories recalled by each keyword of a problem, the best ``k`` for each problem.
+
+    A keyword is a search of its own: its best ``each`` memories by BM25 and tags.
+    Problems without keywords and null problems have no rows; ties go to the lower id
+    and keyword.
+    """
+    keys = problems.select("problem_id", F.explode(tx.keywords("problem")).alias("keyword"))
+    best = search.recalled(keys.select("keyword").distinct(), memories, each)
+    held = best.select("id").distinct()
+    about = memories.select("id", "content", "tags", "category").join(held, "id")
+    scored = best.join(about, "id").select("keyword", "id", item_relevance(F.col("content"), F.col("tags"), F.col("category"), F.col("keyword")).alias("relevance"))
     by = Window.partitionBy("problem_id").orderBy(F.col("relevance").desc(), "id", "keyword")
-    return d.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= k).drop("_r", "token")
+    top = keys.join(scored, "keyword").withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= k).drop("_r")
+    return top.join(about, "id").select("problem_id", "id", "keyword", "content", "tags", "category", "relevance")
 
 
 def framework_steps(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, i + 1, s) for k, v in FRAMEWORKS.items() for i, s in enumerate(v)], "kind string, step_no int, step string")
 
 
-def composed(problems: DataFrame, found: DataFrame) -> DataFrame:
+def composed(problems: DataFrame, found: DataFrame, frameworks: DataFrame | None = None) -> DataFrame:
     """(problem_id, step_no, step, source, relevance): each framework step with the memory that fits it best, or the framework itself."""
-    steps = problems.select("problem_id", tx.problem_kind("problem").alias("kind")).join(F.broadcast(framework_steps(problems.sparkSession)), "kind")
-    fit = F.when(F.col("content").contains(F.col("step")), 0.8).otherwise(0.0) * F.col("relevance")
+    steps = problems.select("problem_id", tx.problem_kind("problem").alias("kind")).join(framework_steps(problems.sparkSession) if frameworks is None else frameworks, "kind")
+    words = F.filter(F.split("step", tx.SPACE + "+"), lambda w: w != "")
+    some = F.exists(words, lambda w: F.col("content").contains(w))
+    fit = F.when(F.col("content").contains(F.col("step")), 0.8).when(some, 0.5).otherwise(0.0) * F.col("relevance")
     pairs = steps.join(found.select("problem_id", "id", "content", "relevance"), "problem_id").withColumn("fit", fit).where("fit > 0.3")
     best = pairs.groupBy("problem_id", "step_no").agg(F.min_by(F.struct("id", "relevance"), F.struct(-F.col("fit"), F.col("id"))).alias("b"))
     d = steps.join(best, ["problem_id", "step_no"], "left")

@@ -139,6 +139,16 @@ def sql() -> dict[str, str]:
     length_case = lambda *v: f"CASE WHEN length(problem) < 50 THEN {v[0]} WHEN length(problem) < 200 THEN {v[1]} ELSE {v[2]} END"
     weight = f"""CASE WHEN category = 'credential' OR contains(c, '密码') OR contains(c, '密钥') THEN 4 WHEN category IN ('preference', 'decision') THEN 3
 WHEN category = 'goal' OR contains(c, '我的名字是') OR contains(c, '我叫') THEN 3 WHEN category IN ('project', 'technical') THEN 2 WHEN category IN ('chat', 'general') THEN 1 ELSE 2 END"""
+    GATHERED = f"""{PROBLEMS}, {LTM}, ks AS (SELECT problem_id, unnest({keywords('problem', tx.COMPOSER_STOP)}) AS keyword FROM problems),
+asked AS (SELECT keyword, token, count(*) AS times FROM (SELECT keyword, unnest({tokens('keyword')}) AS token FROM (SELECT DISTINCT keyword FROM ks)) GROUP BY ALL),
+dc AS (SELECT id, len(tk) AS len, tk FROM (SELECT id, {tokens(corpus('content', 'category'))} AS tk FROM ltm)), hl AS (SELECT id, len, token, count(*) AS tf FROM (SELECT id, len, unnest(tk) AS token FROM dc) GROUP BY ALL),
+dfs AS (SELECT token, count(*) AS df FROM hl GROUP BY token), pool AS (SELECT count(*) AS n, avg(len) AS a FROM dc), li AS (SELECT token, ln(n - df + 0.5) - ln(df + 0.5) AS wt FROM dfs, pool), mw AS (SELECT avg(wt) AS m FROM li),
+bt AS (SELECT keyword, id, sum(times * (CASE WHEN wt < 0 THEN {search.EPSILON} * m ELSE wt END) * tf * {search.K1 + 1} / (tf + {search.K1} * ({1 - search.B} + {search.B} * len / a))) AS score FROM asked JOIN hl USING (token) JOIN li USING (token), mw, pool GROUP BY ALL),
+tg AS (SELECT DISTINCT keyword, id, 0.5 AS score FROM asked, ltm WHERE contains(lower(array_to_string(tags, ' ')), token)),
+rc AS (SELECT keyword, id, round(sum(score), 9) AS score FROM (SELECT * FROM bt UNION ALL SELECT * FROM tg) GROUP BY ALL),
+rk AS (SELECT keyword, id FROM (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY score DESC, id) AS r FROM rc WHERE score > 0) WHERE r <= 20),
+gr AS (SELECT problem_id, id, keyword, least(1.0, CASE WHEN contains(content, keyword) THEN 0.4 ELSE 0 END + CASE WHEN len(list_filter(tags, lambda t: contains(t, keyword))) > 0 THEN 0.3 ELSE 0 END + CASE WHEN category IN ('discussion', 'insight', 'method') THEN 0.2 ELSE 0 END + 0.1) AS relevance FROM ks JOIN rk USING (keyword) JOIN ltm USING (id)),
+gathered AS (SELECT problem_id, id, keyword, relevance FROM (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY relevance DESC, id, keyword) AS r FROM gr) WHERE r <= 10)"""
     weights = f"w AS (SELECT id, created_at, {weight} AS weight FROM (SELECT id, created_at, coalesce(category, '') AS category, coalesce(content, '') AS c FROM ltm))"
     days = f"floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(created_at)) / 86400000000.0)"
     recency = f"CASE WHEN created_at IS NULL THEN 0.3 WHEN {days} <= 7 THEN 1.0 WHEN {days} <= 30 THEN 0.5 * (1 - ({days} - 7) / 23) ELSE 0.1 END"
@@ -220,7 +230,11 @@ SELECT problem_id, array_to_string(list_sort(CASE WHEN length(han) > 0 THEN list
         "generation_gate": f"WITH {PROBLEMS}, f AS (SELECT *, round(0.6 * {length_case(0.4, 0.7, 0.9)} + 0.4 * CASE WHEN length(problem) % 2 = 0 THEN 0.7 ELSE 0.3 END, 6)::DOUBLE AS feasibility FROM problems) SELECT problem_id, feasibility, length(problem) >= 10 AND feasibility >= 0.5 AS can_generate FROM f",
         "skill_drafts": f"""WITH {PROBLEMS}, k AS (SELECT *, {keywords('problem', tx.GENERATOR_STOP)} AS g FROM problems), m AS (SELECT *, lower(problem) || ' ' || lower(array_to_string(g, ' ')) AS x FROM k), dd AS (SELECT *, {domain} AS domain FROM m), t AS (SELECT *, CASE domain {drafts} END AS pick FROM dd)
 SELECT problem_id, domain, array_to_string(g[1:2], ' ') || ' 解决方案' AS name, '用于解决: ' || substring(problem, 1, 100) || '...' AS description, pick.t AS template, pick.s AS steps, pick.c::DOUBLE AS confidence, pick.c < 0.80 AS needs_verification FROM t""",
-        "gathered_memories": f"""WITH {PROBLEMS}, {LTM}, k AS (SELECT problem_id, unnest({keywords('problem', tx.COMPOSER_STOP)}) AS keyword FROM problems), wd AS (SELECT DISTINCT id, unnest({tokens(corpus('content', 'category'))}) AS token FROM ltm),
-h AS (SELECT problem_id, id, keyword, least(1.0, CASE WHEN contains(content, keyword) THEN 0.4 ELSE 0 END + CASE WHEN len(list_filter(tags, lambda t: contains(t, keyword))) > 0 THEN 0.3 ELSE 0 END + CASE WHEN category IN ('discussion', 'insight', 'method') THEN 0.2 ELSE 0 END + 0.1) AS relevance FROM k JOIN wd ON lower(keyword) = token JOIN ltm USING (id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY relevance DESC, id, keyword) AS r FROM h) SELECT problem_id, id, keyword, round(relevance, 6)::DOUBLE AS relevance FROM r WHERE r <= 10""",
+        "gathered_memories": f"""WITH {GATHERED} SELECT problem_id, id, keyword, round(relevance, 6)::DOUBLE AS relevance FROM gathered""",
+        "composition_plans": f"""WITH {GATHERED}, fw(kind, step_no, step) AS (VALUES {', '.join(f"({q(kd)}, {i + 1}, {q(st)})" for kd, v in skills.FRAMEWORKS.items() for i, st in enumerate(v))}),
+kd AS (SELECT problem_id, {first_kind('lower(problem)', tx.PROBLEM_KINDS, 'problem_solving')} AS kind FROM problems), st AS (SELECT problem_id, step_no, step FROM kd JOIN fw USING (kind)),
+fit AS (SELECT problem_id, step_no, id, relevance, relevance * CASE WHEN contains(content, step) THEN 0.8 WHEN len(list_filter(string_split(step, ' '), lambda w: w <> '' AND contains(content, w))) > 0 THEN 0.5 ELSE 0 END AS fit FROM st JOIN gathered USING (problem_id) JOIN (SELECT id, content FROM ltm) USING (id)),
+best AS (SELECT problem_id, step_no, arg_min(relevance, (-fit, id)) AS relevance FROM fit WHERE fit > 0.3 GROUP BY ALL),
+pl AS (SELECT problem_id, step_no, best.problem_id IS NOT NULL AS own, coalesce(relevance, 0.5) AS relevance FROM st LEFT JOIN best USING (problem_id, step_no))
+SELECT problem_id, count(*) AS steps, count(*) FILTER (own) AS from_memory, round(least(1.0, 0.6 * avg(relevance) + 0.4 * avg(own::INT)), 6)::DOUBLE AS quality FROM pl GROUP BY problem_id""",
     }
