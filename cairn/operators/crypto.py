@@ -55,3 +55,14 @@ def decrypted(df: DataFrame, secret: str, to: str = "plaintext", iterations: int
 def keys(df: DataFrame) -> DataFrame:
     """Entries without their secret columns."""
     return df.drop("ciphertext_hex", "nonce_hex", "salt_hex")
+
+
+def deleted(df: DataFrame, secret: str, gone: Column, iterations: int = ITERATIONS) -> DataFrame:
+    """Entries without those that ``gone`` names; reading fails if one of them can't be decrypted with ``secret``, so nothing is deleted with a wrong one.
+
+    Rows for which ``gone`` is null stay.
+    """
+    named = F.coalesce(gone, F.lit(False))
+    out = decrypted(df.withColumn("_gone", named), secret, "_plain", iterations)
+    bad = F.col("_gone") & F.col("_plain").isNull() & F.col("ciphertext_hex").isNotNull()
+    return out.where(F.when(bad, F.raise_error(F.lit("wrong passphrase: nothing is deleted")).cast("boolean")).otherwise(~F.col("_gone"))).select(*df.columns)

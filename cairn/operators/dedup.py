@@ -124,6 +124,12 @@ def suggested_action(new: DataFrame, existing: DataFrame, method: str = "cosine"
     return d.select("id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.when(F.col("similarity") >= 0.95, "skip").when(F.col("similarity") >= 0.85, "merge").otherwise("save").alias("action"))
 
 
+def is_duplicate(new: DataFrame, existing: DataFrame, threshold: float = 0.85, method: str = "cosine") -> DataFrame:
+    """(id, is_duplicate): whether any existing text is at least ``threshold`` alike; null texts are no duplicates."""
+    held = class_matches(_distinct(new), _distinct(existing), threshold, method).select("digest").distinct().withColumn("_hit", F.lit(True))
+    return new.select("id", F.md5("text").alias("digest")).distinct().join(held, "digest", "left").select("id", F.coalesce("_hit", F.lit(False)).alias("is_duplicate"))
+
+
 def merged(df: DataFrame, group: str, text: str, key: str = "id") -> DataFrame:
     """One text for each group: the longest row and every distinct sentence of the group, in order, closed by a full stop."""
     longest = df.groupBy(group).agg(F.max_by(text, F.struct(F.length(text), F.col(key))).alias("longest"))

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+
 
 @dataclass(frozen=True)
 class Pattern:
@@ -38,19 +40,25 @@ PATTERNS = (
 SPAN = "array<struct<start int, end int, name string, category string, template string>>"
 
 
+def jvm(regex: str) -> str:
+    """A pattern for the JVM that takes blanks, digits, words and case as Unicode has them, as the spans' patterns do."""
+    blank = tx.SPACE[1:-1]
+    return "(?U)" + regex.replace(r"\S", f"[^{blank}]").replace(r"\s", f"[{blank}]").replace(r"\d", r"\p{Nd}")
+
+
 def is_sensitive(c: Column | str, patterns: Sequence[Pattern] = PATTERNS) -> Column:
     """Whether any pattern matches; false for null."""
     x = F.col(c) if isinstance(c, str) else c
     out = F.lit(False)
     for p in patterns:
-        out = out | F.coalesce(x.rlike(p.regex), F.lit(False))
+        out = out | F.coalesce(x.rlike(jvm(p.regex)), F.lit(False))
     return out
 
 
 def categories(c: Column | str, patterns: Sequence[Pattern] = PATTERNS) -> Column:
     """Distinct categories found, in pattern order."""
     x = F.col(c) if isinstance(c, str) else c
-    return F.array_distinct(F.array_compact(F.array(*[F.when(x.rlike(p.regex), F.lit(p.category)) for p in patterns])))
+    return F.array_distinct(F.array_compact(F.array(*[F.when(x.rlike(jvm(p.regex)), F.lit(p.category)) for p in patterns])))
 
 
 def _spans_of(text: str, compiled: list[tuple[re.Pattern, Pattern]]) -> list[tuple[int, int, Pattern]]:

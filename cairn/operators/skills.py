@@ -103,6 +103,20 @@ def composed(problems: DataFrame, found: DataFrame, frameworks: DataFrame | None
     return d.select("problem_id", "step_no", "step", F.coalesce("b.id", F.lit("framework")).alias("source"), F.coalesce("b.relevance", F.lit(0.5)).alias("relevance"))
 
 
+def adaptation(problems: DataFrame, plan: DataFrame) -> DataFrame:
+    """(problem_id, framework, customizations, warnings, confidence): how a composed plan has to be adapted to its problem.
+
+    A complex problem gets checks, each field of expertise an analysis, and a plan of
+    which more than half is framework a warning; the first and last cost confidence.
+    """
+    counts = plan.groupBy("problem_id").agg(F.count("*").alias("_n"), F.count_if(F.col("source") == "framework").alias("_f"))
+    d = analysed(problems).join(counts, "problem_id")
+    hard, thin = F.coalesce(F.col("complexity") == "high", F.lit(False)), F.col("_f") > F.col("_n") / 2
+    fields = F.transform(F.coalesce("expertise", F.array().cast("array<string>")), lambda x: F.concat(F.lit("加强 "), x, F.lit(" 分析")))
+    none = F.array().cast("array<string>")
+    return d.select("problem_id", F.col("kind").alias("framework"), F.concat(F.when(hard, F.array(F.lit("增加验证步骤"))).otherwise(none), fields).alias("customizations"), F.when(thin, F.array(F.lit("超过50%的步骤来自框架模板，质量可能不够高"))).otherwise(none).alias("warnings"), F.round(0.75 - F.when(hard, 0.1).otherwise(0.0) - F.when(thin, 0.15).otherwise(0.0), 6).alias("confidence"))
+
+
 def composition_quality(plan: DataFrame) -> DataFrame:
     """(problem_id, steps, from_memory, quality): 0.6 of the mean relevance and 0.4 of the share of steps from memories."""
     own = F.avg(F.when(F.col("source") != "framework", 1.0).otherwise(0.0))

@@ -26,11 +26,20 @@ def status(ltm: DataFrame, kb: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def coverage(df: DataFrame, by: list[str], score: str = "relevance", least: float = 0.6) -> DataFrame:
     """Share of results at ``least`` or more, variety of tags and categories, and whether they suffice to compose from."""
-    tags = F.size(F.array_distinct(F.flatten(F.collect_list(F.coalesce("tags", F.array().cast("array<string>"))))))
-    d = df.groupBy(*by).agg(F.count("*").alias("results"), F.avg(F.when(F.col(score) >= least, 1.0).otherwise(0.0)).alias("coverage"), F.least(F.lit(1.0), (tags + F.count_distinct("category")) / (2 * F.count("*"))).alias("diversity"), F.avg(score).alias("mean_relevance"))
+    # distinct tags are counted, not collected: a group may hold a third of all rows
+    each = df.select(*by, F.explode("tags").alias("_tag")).distinct().groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.count("*").alias("_tags"))
+    d = df.groupBy(*by).agg(F.count("*").alias("results"), F.avg(F.when(F.col(score) >= least, 1.0).otherwise(0.0)).alias("coverage"), F.count_distinct("category").alias("_kinds"), F.avg(score).alias("mean_relevance"))
+    same = [d[c].eqNullSafe(each[f"_{c}"]) for c in by]
+    d = d.join(each, same, "left").drop(*[f"_{c}" for c in by])
+    d = d.withColumn("diversity", F.least(F.lit(1.0), (F.coalesce("_tags", F.lit(0)) + F.col("_kinds")) / (2 * F.col("results")))).drop("_tags", "_kinds")
     d = d.withColumn("composability", 0.6 * F.col("coverage") + 0.4 * F.col("diversity"))
     return d.withColumn("can_compose", F.col("composability") >= 0.65)
 
 
 def run_statistics(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+
+
+def per_source(df: DataFrame, source: str = "source") -> DataFrame:
+    """(source, items): how many rows each source gave; rows without a source count under null."""
+    return df.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("items"))

@@ -184,6 +184,7 @@ j AS (SELECT id, CASE WHEN s IS NOT NULL AND v.score IS NOT NULL THEN (s + v.sco
 SELECT id, round(score, 6) AS score, source FROM j ORDER BY j.score DESC, id, source LIMIT 20""",
         "exact_dedup_groups": f"SELECT min(doc_id) AS first, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY {normal('text')} HAVING count(*) > 1",
         "exact_dedup_firsts": f"SELECT min(doc_id) AS id FROM documents WHERE text IS NOT NULL GROUP BY {normal('text')} UNION ALL SELECT doc_id FROM documents WHERE text IS NULL",
+        "duplicate_items": f"{JACCARD}, hit AS (SELECT DISTINCT id FROM pairs WHERE similarity >= 0.85) SELECT item_id AS id, hit.id IS NOT NULL AS is_duplicate FROM (SELECT DISTINCT item_id FROM save_suggestions WHERE content IS NOT NULL) LEFT JOIN hit ON hit.id = item_id",
         "jaccard_items_vs_ltm": f"{JACCARD} SELECT id, match_id, round(similarity, 6) AS similarity FROM pairs WHERE similarity >= 0.85",
         "cosine_items_vs_ltm": f"{COSINE} SELECT id, match_id, round(similarity, 6) AS similarity FROM pairs WHERE similarity >= 0.85",
         "suggested_actions": f"{COSINE}, best AS (SELECT id, max(similarity) AS m FROM pairs GROUP BY id) SELECT CASE WHEN m >= 0.95 THEN 'skip' WHEN m >= 0.85 THEN 'merge' ELSE 'save' END AS action, count(*) AS items FROM items LEFT JOIN best ON best.id = item_id WHERE content IS NOT NULL GROUP BY 1",
@@ -230,6 +231,7 @@ SELECT problem_id, array_to_string(list_sort(CASE WHEN length(han) > 0 THEN list
         "generation_gate": f"WITH {PROBLEMS}, f AS (SELECT *, round(0.6 * {length_case(0.4, 0.7, 0.9)} + 0.4 * CASE WHEN length(problem) % 2 = 0 THEN 0.7 ELSE 0.3 END, 6)::DOUBLE AS feasibility FROM problems) SELECT problem_id, feasibility, length(problem) >= 10 AND feasibility >= 0.5 AS can_generate FROM f",
         "skill_drafts": f"""WITH {PROBLEMS}, k AS (SELECT *, {keywords('problem', tx.GENERATOR_STOP)} AS g FROM problems), m AS (SELECT *, lower(problem) || ' ' || lower(array_to_string(g, ' ')) AS x FROM k), dd AS (SELECT *, {domain} AS domain FROM m), t AS (SELECT *, CASE domain {drafts} END AS pick FROM dd)
 SELECT problem_id, domain, array_to_string(g[1:2], ' ') || ' 解决方案' AS name, '用于解决: ' || substring(problem, 1, 100) || '...' AS description, pick.t AS template, pick.s AS steps, pick.c::DOUBLE AS confidence, pick.c < 0.80 AS needs_verification FROM t""",
+        "items_per_source": "SELECT source, count(*) AS items FROM (SELECT DISTINCT ON (item_id) item_id, source FROM save_suggestions) GROUP BY source",
         "gathered_memories": f"""WITH {GATHERED} SELECT problem_id, id, keyword, round(relevance, 6)::DOUBLE AS relevance FROM gathered""",
         "composition_plans": f"""WITH {GATHERED}, fw(kind, step_no, step) AS (VALUES {', '.join(f"({q(kd)}, {i + 1}, {q(st)})" for kd, v in skills.FRAMEWORKS.items() for i, st in enumerate(v))}),
 kd AS (SELECT problem_id, {first_kind('lower(problem)', tx.PROBLEM_KINDS, 'problem_solving')} AS kind FROM problems), st AS (SELECT problem_id, step_no, step FROM kd JOIN fw USING (kind)),

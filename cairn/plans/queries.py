@@ -140,6 +140,22 @@ def edit_titles(s, d):
     return _six(dedup.matches(t, t, 0.9, "levenshtein"), "similarity").where("id < match_id")
 
 
+def duplicate_items(s, d):
+    new = items(s, d).where("content is not null").select(F.col("item_id").alias("id"), F.col("content").alias("text"))
+    old = ltm(s, d).where("content is not null").select("id", F.col("content").alias("text"))
+    return dedup.is_duplicate(new, old, 0.85, "jaccard")
+
+
+def items_per_source(s, d):
+    return summaries.per_source(items(s, d))
+
+
+def adaptation_strategies(s, d):
+    p = problems(s, d)
+    out = skills.adaptation(p, skills.composed(p, skills.gathered(p, ltm(s, d))))
+    return out.select("problem_id", "framework", F.array_join("customizations", "|").alias("customizations"), F.array_join("warnings", "|").alias("warnings"), "confidence")
+
+
 def suggested_actions(s, d):
     new = items(s, d).where("content is not null").select(F.col("item_id").alias("id"), F.col("content").alias("text"))
     old = ltm(s, d).where("content is not null").select("id", F.col("content").alias("text"))
@@ -363,7 +379,7 @@ def skill_runs(s, d):
 
 NAMES = (
     "kb_bm25_top10 kb_bm25_by_category ltm_bm25_top20 ltm_bm25_scores kb_keyword_top10 ltm_keyword_top20 ltm_blank_query skill_entries_top5 tf_vectors tf_cosine_top10 embedding_cosine_top10 hybrid_two_way hybrid_three_way "
-    "exact_dedup_groups exact_dedup_firsts jaccard_items_vs_ltm cosine_items_vs_ltm edit_titles suggested_actions merged_titles added_distinct sensitive_flags sensitive_redacted "
+    "exact_dedup_groups exact_dedup_firsts jaccard_items_vs_ltm cosine_items_vs_ltm edit_titles duplicate_items items_per_source adaptation_strategies suggested_actions merged_titles added_distinct sensitive_flags sensitive_redacted "
     "kb_index ltm_latest kb_confirmed ltm_checked kb_checked ltm_updated ltm_deleted ltm_upserted ltm_migrated shard_names kb_paragraphs ltm_profile store_status suggestion_coverage event_statistics weight_statistics ranked_by_weight "
     "session_summaries active_sessions session_context pending_items flush_results trigger_first_rule trigger_session_fold hourly_event_types "
     "problem_analysis match_keywords dedup_token_counts feedback_signals problem_parts generation_gate skill_drafts gathered_memories composition_plans matched_skills skill_quality skill_runs"

@@ -245,3 +245,42 @@ def test_matched_skills_take_whole_problems(spark, small):
     t = q.kb(spark, small).select(F.col("id").alias("skill_id"), F.concat_ws(" ", "title", F.array_join("tags", " "), F.substring("content", 1, 200)).alias("text"))
     want = {(r["problem_id"], r["skill_id"], round(r["relevance"], 6)) for r in skills.matched(p, t).collect()}
     assert {tuple(r) for r in q.matched_skills(spark, small).select("problem_id", "skill_id", "relevance").collect()} == want
+
+
+def test_secrets_with_blanks_and_digits_of_other_kinds(spark):
+    from cairn.operators import sensitive
+
+    rows = [(1, "password\u3000:\u3000hunter22"), (2, "卡号 １２３４５６７８９０１２３４５６"), (3, "nothing here"), (4, None), (5, "")]
+    got = {r["id"]: r for r in sensitive.scanned(spark.createDataFrame(rows, "id int, text string"), "text").collect()}
+    assert [got[i]["is_sensitive"] for i in (1, 2, 3, 4, 5)] == [True, True, False, False, False]
+    assert got[1]["redacted"] == "[PASSWORD:***]" and got[2]["redacted"] == "卡号 [BANK_CARD:****]" and got[4]["redacted"] is None
+
+
+def test_keywords_are_searches_of_their_own(spark):
+    from cairn.operators import skills
+
+    memories = spark.createDataFrame([("a", "市场分析与竞争分析的笔记", ["x"], "insight"), ("b", "marketing notes", [], "chat"), ("c", "something else", ["improvement"], None), ("d", None, None, None)], "id string, content string, tags array<string>, category string")
+    problems = spark.createDataFrame([("p", "市场分析 竞争分析"), ("q", "improve marketing, plan"), ("r", ""), ("s", None)], "problem_id string, problem string")
+    got = {(r["problem_id"], r["id"]) for r in skills.gathered(problems, memories).collect()}
+    assert ("p", "a") in got and ("q", "b") in got and ("q", "c") in got and {p for p, _ in got} == {"p", "q"}
+
+
+def test_deletion_needs_the_passphrase(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from cairn.operators import crypto
+
+    d = crypto.encrypted(spark.createDataFrame([("1", "one"), ("2", "two")], "id string, content string"), "content", "right", iterations=10)
+    d = spark.createDataFrame(d.collect(), d.schema)
+    assert [r["id"] for r in crypto.deleted(d, "right", F.col("id") == "1", iterations=10).collect()] == ["2"]
+    with pytest.raises(Exception, match="wrong passphrase"):
+        crypto.deleted(d, "wrong", F.col("id") == "1", iterations=10).collect()
+
+
+def test_is_duplicate(spark):
+    from cairn.operators import dedup
+
+    old = spark.createDataFrame([("o", "alpha beta gamma delta epsilon")], "id string, text string")
+    new = spark.createDataFrame([("1", "alpha beta gamma delta epsilon"), ("2", "something quite different here"), ("3", None)], "id string, text string")
+    assert {r["id"]: r["is_duplicate"] for r in dedup.is_duplicate(new, old, 0.85, "jaccard").collect()} == {"1": True, "2": False, "3": False}
