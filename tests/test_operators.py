@@ -284,3 +284,21 @@ def test_is_duplicate(spark):
     old = spark.createDataFrame([("o", "alpha beta gamma delta epsilon")], "id string, text string")
     new = spark.createDataFrame([("1", "alpha beta gamma delta epsilon"), ("2", "something quite different here"), ("3", None)], "id string, text string")
     assert {r["id"]: r["is_duplicate"] for r in dedup.is_duplicate(new, old, 0.85, "jaccard").collect()} == {"1": True, "2": False, "3": False}
+
+
+def test_keywords_meet_memories_block_by_block(spark, monkeypatch):
+    from cairn.operators import blocks, search
+
+    monkeypatch.setattr(blocks, "TEXTS", 7)
+    monkeypatch.setattr(blocks, "QUERIES", 3)
+    rows = [(f"m{i:02}", None if i == 3 else f"缓存 索引 word{i % 5} " + "alpha " * (i % 4), [] if i % 3 else [f"tag{i % 5}", "缓存"], "habit" if i % 2 else None) for i in range(40)]
+    memories = spark.createDataFrame(rows, "id string, content string, tags array<string>, category string")
+    words = ["缓存", "索引缓存", "word1", "word2 alpha", "tag", "a", "ag3", "nothing", "...", "habit"]
+    found = search.recalled(spark.createDataFrame([(w,) for w in [*words, "tag", None, " "]], "keyword string"), memories, 5)
+    # pairs of keywords and memories are never rows
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    got = {r["keyword"]: [(x["id"], round(-x["loss"], 6)) for x in r["top"]] for r in found.collect()}
+    for w in words:
+        want = search.search_ltm(memories, w, k=40).withColumn("score", F.round("score", 9)).orderBy(F.col("score").desc(), "id").limit(5).collect()
+        assert got.get(w, []) == [(r["id"], round(r["score"], 6)) for r in want], w
+    assert {*got} <= {*words}
