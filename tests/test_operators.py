@@ -302,3 +302,22 @@ def test_keywords_meet_memories_block_by_block(spark, monkeypatch):
         want = search.search_ltm(memories, w, k=40).withColumn("score", F.round("score", 9)).orderBy(F.col("score").desc(), "id").limit(5).collect()
         assert got.get(w, []) == [(r["id"], round(r["score"], 6)) for r in want], w
     assert {*got} <= {*words}
+
+
+def test_problems_meet_skills_block_by_block(spark, monkeypatch):
+    from cairn.functions import text as tx
+    from cairn.operators import blocks
+
+    monkeypatch.setattr(blocks, "TEXTS", 5)
+    monkeypatch.setattr(blocks, "QUERIES", 4)
+    words = ["cache", "index", "search", "缓存", "索引", "report", "(plan)", "cat"]
+    text = lambda i, n: " ".join(words[(i * 3 + j * (1 + i % 2)) % len(words)] for j in range(n))
+    p = spark.createDataFrame([(f"p{i:02}", text(i, 2 + i % 4)) for i in range(24)] + [("none", None), ("dup", "cat cat index")], "problem_id string, problem string")
+    s = spark.createDataFrame([(f"s{i:02}", None if i == 4 else text(i + 1, 1 + i % 5).upper() + "　x") for i in range(30)], "skill_id string, text string")
+    found = skills.matched(p, s)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    all_ = p.select("problem_id", tx.match_keywords("problem").alias("k")).crossJoin(s).where("size(k) > 0").select("problem_id", "skill_id", (F.size(F.filter("k", lambda k: F.lower("text").contains(k))) / F.size("k")).alias("v")).where("v >= 0.4").collect()
+    want = {}
+    for r in sorted(all_, key=lambda r: (r["problem_id"], -r["v"], r["skill_id"])):
+        want.setdefault(r["problem_id"], (r["skill_id"], r["v"]))
+    assert want and {r["problem_id"]: (r["skill_id"], r["relevance"]) for r in found.collect()} == want
