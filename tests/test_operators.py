@@ -321,3 +321,12 @@ def test_problems_meet_skills_block_by_block(spark, monkeypatch):
     for r in sorted(all_, key=lambda r: (r["problem_id"], -r["v"], r["skill_id"])):
         want.setdefault(r["problem_id"], (r["skill_id"], r["v"]))
     assert want and {r["problem_id"]: (r["skill_id"], r["relevance"]) for r in found.collect()} == want
+
+
+def test_contents_meet_steps_before_problems(spark):
+    p = spark.createDataFrame([("p", "营销 推广"), ("q", "plain words")], "problem_id string, problem string")
+    found = spark.createDataFrame([("p", "a", "渠道选择与预算分配", 0.5), ("p", "b", "渠道选择", 0.7), ("p", "c", "预算分配", 0.3), ("q", "a", "渠道选择与预算分配", 0.5)], "problem_id string, id string, content string, relevance double")
+    plan = skills.composed(p, found)
+    assert "BroadcastNestedLoopJoin" in plan._jdf.queryExecution().executedPlan().toString()
+    own = {(r["problem_id"], r["step"]): (r["source"], r["relevance"]) for r in plan.collect() if r["source"] != "framework"}
+    assert own == {("p", "渠道选择"): ("b", 0.7), ("p", "预算分配"): ("a", 0.5)} and plan.count() == 10
