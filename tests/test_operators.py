@@ -330,3 +330,12 @@ def test_contents_meet_steps_before_problems(spark):
     assert "BroadcastNestedLoopJoin" in plan._jdf.queryExecution().executedPlan().toString()
     own = {(r["problem_id"], r["step"]): (r["source"], r["relevance"]) for r in plan.collect() if r["source"] != "framework"}
     assert own == {("p", "渠道选择"): ("b", 0.7), ("p", "预算分配"): ("a", 0.5)} and plan.count() == 10
+
+
+def test_adaptation_of_gathered_plans(spark):
+    memories = spark.createDataFrame([(x, f"营销 {x}", ["营销"], "insight") for x in ("目标定位", "渠道选择", "内容制定", "预算分配")], "id string, content string, tags array<string>, category string")
+    p = spark.createDataFrame([("p", "营销 推广"), ("q", "plain words")], "problem_id string, problem string")
+    out = skills.adaptation(p, skills.composed(p, skills.gathered(p, memories)))
+    assert "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["problem_id"]: (r["framework"], len(r["warnings"]), r["confidence"]) for r in out.collect()}
+    assert got == {"p": ("marketing_strategy", 0, 0.75), "q": ("problem_solving", 1, 0.6)}
