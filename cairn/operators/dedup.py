@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..functions import text as tx
+from . import blocks
 
 METHODS = ("cosine", "jaccard", "levenshtein")
-#: Longs of a text's token bitmap.
-BITMAP = 4
+#: Longs of a text's token bitmap, and counts of the histogram that orders tokens.
+BITMAP, HISTOGRAM = 4, 1 << 18
 
 
 def exact_groups(df: DataFrame, text: str, key: str = "id") -> DataFrame:
@@ -36,79 +43,114 @@ def similarity(method: str, a: Column, b: Column) -> Column:
 
 def matches(new: DataFrame, existing: DataFrame, threshold: float = 0.85, method: str = "cosine") -> DataFrame:
     """(id, match_id, similarity): pairs of new and existing rows (id, text) at ``threshold`` or more."""
-    a, b = _distinct(new), _distinct(existing)
-    pairs = class_matches(a, b, threshold, method)
+    pairs = class_matches(new, existing, threshold, method)
     left, right = _members(new), _members(existing)
     out = pairs.join(left.select(F.col("digest"), "id"), "digest")
     return out.join(right.select(F.col("digest").alias("match"), F.col("id").alias("match_id")), "match").select("id", "match_id", "similarity")
 
 
+def _digest() -> Column:
+    return F.unhex(F.md5("text"))
+
+
 def _members(df: DataFrame) -> DataFrame:
-    return df.where(F.col("text").isNotNull()).select("id", F.md5("text").alias("digest"))
+    return df.where(F.col("text").isNotNull()).select("id", _digest().alias("digest"))
 
 
 def _distinct(df: DataFrame) -> DataFrame:
     """(digest, text): each text once, so that copies never meet pairwise."""
-    return df.where(F.col("text").isNotNull()).groupBy(F.md5("text").alias("digest")).agg(F.first("text").alias("text"))
+    return df.where(F.col("text").isNotNull()).groupBy(_digest().alias("digest")).agg(F.first("text").alias("text"))
 
 
-def class_matches(a: DataFrame, b: DataFrame, threshold: float, method: str) -> DataFrame:
-    """(digest, match, similarity): pairs of distinct texts (digest, text) at ``threshold`` or more.
+def class_matches(new: DataFrame, existing: DataFrame, threshold: float, method: str) -> DataFrame:
+    """(digest, match, similarity): pairs of distinct texts of two sides (id, text) at ``threshold`` or more.
 
     Token methods meet on prefixes of the rarest tokens.  Two sets at Jaccard t share
     one of the |A| - ceil(t |A|) + 1 rarest of each; two count vectors at cosine t
     share a token outside the commonest ones whose squares sum to under t squared of
     the vector's own, since those alone could not make up the cosine.  Bitmaps of the
-    tokens bound what a pair can have in common, inside the join.  Edit similarity
-    meets within bands of length.  Candidates are then measured exactly.
+    tokens bound what a pair can have in common, inside the join.  Only prefixes are
+    shuffled, as hashes: rarity, which only has to order tokens alike on both sides,
+    comes from a histogram of fixed size.  Edit similarity meets within bands of
+    length.  Candidates are then measured exactly, on their tokens.
     """
+    a, b = _distinct(new), _distinct(existing)
     if method == "levenshtein":
         return _by_length(a, b, threshold)
-    counts = lambda d: d.select("digest", F.explode(tx.dedup_tokens("text")).alias("term")).groupBy("digest", "term").agg(F.count("*").alias("n"))
-    ca, cb = counts(a), counts(b)
-    df = ca.select("term").unionByName(cb.select("term")).groupBy("term").agg(F.count("*").alias("df"))
-    pa, pb = _prefix(ca, df, threshold, method), _prefix(cb, df, threshold, method)
-    x, y = pa.alias("x"), pb.alias("y")
+    tokens = lambda d: d.select("digest", tx.dedup_tokens("text").alias("tokens"))
+    all_ = new.select("text").unionByName(existing.select("text")).where("text is not null")
+    place = F.pmod(F.xxhash64("term"), F.lit(HISTOGRAM)).cast("int")
+    got = all_.select(F.explode(F.array_distinct(tx.dedup_tokens("text"))).alias("term")).groupBy(place.alias("place")).agg(F.count("*").alias("n")).toArrow()
+    rarity = np.zeros(HISTOGRAM, np.int64)
+    rarity[got["place"].to_numpy()] = got["n"].to_numpy()
+    x, y = _prefix(tokens(a), rarity, threshold, method).alias("x"), _prefix(tokens(b), rarity, threshold, method).alias("y")
     pairs = x.join(y, (F.col("x.term") == F.col("y.term")) & _may_reach(threshold, method)).select(F.col("x.digest").alias("digest"), F.col("y.digest").alias("match")).distinct()
+    both = pairs.join(tokens(a), "digest").join(tokens(b).select(F.col("digest").alias("match"), F.col("tokens").alias("others")), "match")
+
+    def measured(batches):
+        for t in batches:
+            value = [_token_similarity(p, q, method) for p, q in zip(t["tokens"].to_pylist(), t["others"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([t["digest"], t["match"], pa.array(value, pa.float64())], ["digest", "match", "similarity"])
+
+    return both.select("digest", "match", "tokens", "others").mapInArrow(measured, "digest binary, match binary, similarity double").where(F.col("similarity") >= threshold - 1e-12)
+
+
+def _token_similarity(a: list[str], b: list[str], method: str) -> float:
+    """Jaccard or cosine of two token lists."""
+    x, y = Counter(a), Counter(b)
     if method == "jaccard":
-        ca, cb = ca.withColumn("n", F.lit(1)), cb.withColumn("n", F.lit(1))
-    size = F.sum("n") if method == "jaccard" else F.sqrt(F.sum(F.col("n") * F.col("n")))
-    na, nb = ca.groupBy("digest").agg(size.alias("na")), cb.groupBy(F.col("digest").alias("match")).agg(size.alias("nb"))
-    shared = pairs.join(ca.select("digest", "term", F.col("n").alias("x")), "digest").join(cb.select(F.col("digest").alias("match"), "term", F.col("n").alias("y")), ["match", "term"])
-    sums = shared.groupBy("digest", "match").agg(F.sum(F.col("x") * F.col("y")).alias("common")).join(na, "digest").join(nb, "match")
-    value = F.col("common") / (F.col("na") + F.col("nb") - F.col("common")) if method == "jaccard" else F.least(F.lit(1.0), F.col("common") / (F.col("na") * F.col("nb")))
-    return sums.select("digest", "match", value.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+        common = len(x.keys() & y.keys())
+        return common / (len(x) + len(y) - common) if x and y else 0.0
+    norm = math.sqrt(sum(n * n for n in x.values())) * math.sqrt(sum(n * n for n in y.values()))
+    return min(1.0, sum(n * y[t] for t, n in x.items()) / norm) if norm else 0.0
 
 
 def _may_reach(threshold: float, method: str) -> Column:
     """Upper bound of a pair's similarity: every bit of one bitmap that the other lacks is a token (of count 1 or more) they don't share."""
-    lacks = lambda a, b: sum((F.bit_count(F.col(f"{a}.b{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}.b{i}")))) for i in range(BITMAP)), F.lit(0))
-    a, b = F.col("x.all") - lacks("x", "y"), F.col("y.all") - lacks("y", "x")
+    shared = sum((F.bit_count(F.col(f"x.b{i}").bitwiseAND(F.col(f"y.b{i}"))) for i in range(BITMAP)), F.lit(0))
+    a, b = F.col("x.spare") + shared, F.col("y.spare") + shared
     if method == "jaccard":
         common = F.least(a, b)
         return common >= threshold * (F.col("x.all") + F.col("y.all") - common) - 1e-9
     return a * b >= threshold * threshold * F.col("x.all") * F.col("y.all") - 1e-9
 
 
-def _prefix(counts: DataFrame, df: DataFrame, threshold: float, method: str) -> DataFrame:
-    """(digest, term): the rarest tokens of each text that a pair at the threshold must share one of."""
-    weight = F.lit(1.0) if method == "jaccard" else (F.col("n") * F.col("n")).cast("double")
+def _prefix(tokens: DataFrame, rarity: np.ndarray, threshold: float, method: str) -> DataFrame:
+    """(digest, term, all, spare, bitmap): hashes of the rarest tokens of each text (digest, tokens) that a pair at the threshold must share one of; ``spare`` is ``all`` less the bits that are set."""
     share = threshold if method == "jaccard" else threshold * threshold
-    parts = counts.join(df, "term").withColumn("w", weight)
-    h = "pmod(xxhash64(term), 64 * %d)" % BITMAP
-    bits = [F.expr(f"coalesce(bit_or(CASE WHEN {h} DIV 64 = {i} THEN shiftleft(1L, CAST({h} % 64 AS INT)) END), 0L)").alias(f"b{i}") for i in range(BITMAP)]
-    rows = parts.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct(-F.col("df"), F.col("term"), F.col("w")))).alias("t"), F.sum("w").alias("all"), *bits)
-    # commonest first: leave out while the sum stays under the share that a pair needs
-    kept = [f"b{i}" for i in range(BITMAP)]
-    step = lambda acc, x: F.struct((acc["s"] + x["w"]).alias("s"), F.when(acc["s"] + x["w"] < share * F.col("all") - 1e-9, acc["k"] + 1).otherwise(acc["k"]).alias("k"))
-    left_out = F.aggregate("t", F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("k")), step)["k"]
-    return rows.select("digest", F.explode(F.slice("t", left_out + 1, F.size("t"))).alias("x"), "all", *kept).select("digest", F.col("x.term").alias("term"), "all", *kept)
+
+    def run(batches):
+        for t in batches:
+            values, at = blocks.lists(t["hashes"])
+            if not len(values):
+                continue
+            row = np.repeat(np.arange(t.num_rows), np.diff(at))
+            h = values.to_numpy(zero_copy_only=False)
+            by = np.lexsort((h, row))
+            row, h = row[by], h[by]
+            head = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (h[1:] != h[:-1]))))
+            n = np.diff(np.append(head, len(h)))
+            row, h = row[head], h[head]
+            w = np.ones(len(n)) if method == "jaccard" else (n * n).astype(np.float64)
+            whole = np.bincount(row, w, t.num_rows)
+            bits = np.zeros((t.num_rows, BITMAP), np.uint64)
+            bit = h % (64 * BITMAP)
+            np.bitwise_or.at(bits, (row, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+            # commonest first: leave out while the sum stays under the share that a pair needs
+            spare = whole - np.bitwise_count(bits).sum(axis=1)
+            by = np.lexsort((h, -rarity[h % HISTOGRAM], row))
+            row, h, w = row[by], h[by], w[by]
+            total = np.cumsum(w)
+            kept = total - np.concatenate(([0.0], np.cumsum(whole)))[row] >= share * whole[row] - 1e-9
+            row, h = row[kept], h[kept]
+            yield pa.RecordBatch.from_arrays([t["digest"].take(pa.array(row)), pa.array(h), pa.array(whole[row]), pa.array(spare[row]), *(pa.array(bits[row, i].view(np.int64)) for i in range(BITMAP))], ["digest", "term", "all", "spare", *(f"b{i}" for i in range(BITMAP))])
+
+    schema = "digest binary, term long, all double, spare double, " + ", ".join(f"b{i} long" for i in range(BITMAP))
+    return tokens.select("digest", F.transform("tokens", lambda x: F.xxhash64(x)).alias("hashes")).mapInArrow(run, schema)
 
 
 def _by_length(new: DataFrame, existing: DataFrame, threshold: float) -> DataFrame:
     """At similarity t the shorter is at least t times as long as the longer: both fall into the same or neighbouring bands of log length."""
-    import math
-
     step = -math.log(threshold) if 0 < threshold < 1 else 1e-6
     band = lambda c: F.floor(F.log(F.length(c).cast("double")) / step).cast("int")
     a = new.where(F.length("text") > 0).withColumn("_band", band("text"))
@@ -119,15 +161,15 @@ def _by_length(new: DataFrame, existing: DataFrame, threshold: float) -> DataFra
 
 def suggested_action(new: DataFrame, existing: DataFrame, method: str = "cosine") -> DataFrame:
     """(id, similarity, action): skip from 0.95, merge from 0.85, else save."""
-    best = class_matches(_distinct(new), _distinct(existing), 0.85, method).groupBy("digest").agg(F.max("similarity").alias("similarity"))
-    d = new.select("id", F.md5("text").alias("digest")).distinct().join(best, "digest", "left")
+    best = class_matches(new, existing, 0.85, method).groupBy("digest").agg(F.max("similarity").alias("similarity"))
+    d = new.select("id", _digest().alias("digest")).distinct().join(best, "digest", "left")
     return d.select("id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.when(F.col("similarity") >= 0.95, "skip").when(F.col("similarity") >= 0.85, "merge").otherwise("save").alias("action"))
 
 
 def is_duplicate(new: DataFrame, existing: DataFrame, threshold: float = 0.85, method: str = "cosine") -> DataFrame:
     """(id, is_duplicate): whether any existing text is at least ``threshold`` alike; null texts are no duplicates."""
-    held = class_matches(_distinct(new), _distinct(existing), threshold, method).select("digest").distinct().withColumn("_hit", F.lit(True))
-    return new.select("id", F.md5("text").alias("digest")).distinct().join(held, "digest", "left").select("id", F.coalesce("_hit", F.lit(False)).alias("is_duplicate"))
+    held = class_matches(new, existing, threshold, method).select("digest").distinct().withColumn("_hit", F.lit(True))
+    return new.select("id", _digest().alias("digest")).distinct().join(held, "digest", "left").select("id", F.coalesce("_hit", F.lit(False)).alias("is_duplicate"))
 
 
 def merged(df: DataFrame, group: str, text: str, key: str = "id") -> DataFrame:

@@ -339,3 +339,21 @@ def test_adaptation_of_gathered_plans(spark):
     assert "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString()
     got = {r["problem_id"]: (r["framework"], len(r["warnings"]), r["confidence"]) for r in out.collect()}
     assert got == {"p": ("marketing_strategy", 0, 0.75), "q": ("problem_solving", 1, 0.6)}
+
+
+def _alike(spark):
+    words = [f"w{i:02}" for i in range(40)]
+    old = [(f"o{i:02}", " ".join(words[(i * 7 + j * j) % 40] for j in range(9))) for i in range(30)]
+    new = [(f"n{i:02}", old[i % 30][1] + (f" w{i:02} w{i + 1:02}" if i % 3 else "")) for i in range(38)] + [("none", None), ("x", "!")]
+    df = lambda rows: spark.createDataFrame(rows, "id string, text string")
+    return df(new), df(old)
+
+
+@pytest.mark.parametrize("method", ["cosine", "jaccard"])
+def test_only_prefixes_are_shuffled(spark, method):
+    new, old = _alike(spark)
+    found = dedup.matches(new, old, 0.85, method)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") >= 3
+    x, y = new.alias("x"), old.alias("y")
+    want = x.crossJoin(y).select("x.id", "y.id", F.round(dedup.similarity(method, F.col("x.text"), F.col("y.text")), 9).alias("s")).where("s >= 0.85").collect()
+    assert want and {tuple(r) for r in found.select("id", "match_id", F.round("similarity", 9)).collect()} == {tuple(r) for r in want}
