@@ -357,3 +357,12 @@ def test_only_prefixes_are_shuffled(spark, method):
     x, y = new.alias("x"), old.alias("y")
     want = x.crossJoin(y).select("x.id", "y.id", F.round(dedup.similarity(method, F.col("x.text"), F.col("y.text")), 9).alias("s")).where("s >= 0.85").collect()
     assert want and {tuple(r) for r in found.select("id", "match_id", F.round("similarity", 9)).collect()} == {tuple(r) for r in want}
+
+
+def test_actions_come_from_prefixes(spark):
+    new, old = _alike(spark)
+    found = dedup.suggested_action(new, old)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    best = {r["id"]: r["s"] for r in new.alias("x").crossJoin(old.alias("y")).where("x.text is not null").groupBy("x.id").agg(F.max(F.round(dedup.similarity("cosine", F.col("x.text"), F.col("y.text")), 9)).alias("s")).collect()}
+    act = lambda s: "skip" if s >= 0.95 else "merge" if s >= 0.85 else "save"
+    assert {r["id"]: r["action"] for r in found.collect()} == {"none": "save"} | {k: act(v) for k, v in best.items()}
