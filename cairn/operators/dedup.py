@@ -18,6 +18,8 @@ from . import blocks
 METHODS = ("cosine", "jaccard", "levenshtein")
 #: Longs of a text's token bitmap, and counts of the histogram that orders tokens.
 BITMAP, HISTOGRAM = 4, 1 << 18
+#: Parts that the texts of a band of length are spread over.
+SPREAD = 4
 
 
 def exact_groups(df: DataFrame, text: str, key: str = "id") -> DataFrame:
@@ -150,13 +152,31 @@ def _prefix(tokens: DataFrame, rarity: np.ndarray, threshold: float, method: str
 
 
 def _by_length(new: DataFrame, existing: DataFrame, threshold: float) -> DataFrame:
-    """At similarity t the shorter is at least t times as long as the longer: both fall into the same or neighbouring bands of log length."""
+    """At similarity t the shorter is at least t times as long as the longer: both fall into the same or neighbouring bands of log length.
+
+    An edit takes away two pairs of neighbouring characters at most, so a bitmap of
+    these pairs bounds the distance before it is measured.  Bands are spread over SPREAD parts.
+    """
     step = -math.log(threshold) if 0 < threshold < 1 else 1e-6
     band = lambda c: F.floor(F.log(F.length(c).cast("double")) / step).cast("int")
-    a = new.where(F.length("text") > 0).withColumn("_band", band("text"))
-    b = existing.where(F.length("text") > 0).select(F.col("digest").alias("match"), F.col("text").alias("other"), F.explode(F.array(band("text") - 1, band("text"), band("text") + 1)).alias("_band"))
-    d = a.join(b, "_band").where(F.least(F.length("text"), F.length("other")) >= threshold * F.greatest(F.length("text"), F.length("other")))
-    return d.select("digest", "match", sim.edit_similarity(F.col("text"), F.col("other")).alias("similarity")).where(F.col("similarity") >= threshold)
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(SPREAD))
+    a = _with_bits(new.where(F.length("text") > 0)).withColumns({"_band": band("text"), "_part": part("digest")}).alias("x")
+    b = _with_bits(existing.where(F.length("text") > 0)).withColumn("_band", F.explode(F.array(band("text") - 1, band("text"), band("text") + 1)))
+    b = b.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint")))).alias("y")
+    m, n = F.col("x.n"), F.col("y.n")
+    lost = lambda p, q: sum((F.bit_count(F.col(f"{p}.b{i}").bitwiseAND(F.bitwise_not(F.col(f"{q}.b{i}")))) for i in range(BITMAP)), F.lit(0))
+    edits = F.floor((1 - threshold) * F.greatest(m, n) + 1e-9)
+    near = (F.least(m, n) >= threshold * F.greatest(m, n) - 1e-9) & (lost("x", "y") <= 2 * edits) & (lost("y", "x") <= 2 * edits)
+    d = a.join(b, (F.col("x._band") == F.col("y._band")) & (F.col("x._part") == F.col("y._part")) & near)
+    return d.select(F.col("x.digest").alias("digest"), F.col("y.digest").alias("match"), sim.edit_similarity(F.col("x.text"), F.col("y.text")).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def _with_bits(d: DataFrame) -> DataFrame:
+    """``d`` with the length of each text and a bitmap of its pairs of neighbouring characters."""
+    n = F.length("text")
+    places = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substring("text", i, 2)), F.lit(64 * BITMAP)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    bits = [F.expr(f"aggregate(_places, 0L, (s, x) -> CASE WHEN x DIV 64 = {i} THEN s | shiftleft(1L, x % 64) ELSE s END)").alias(f"b{i}") for i in range(BITMAP)]
+    return d.withColumn("_places", places).select("digest", "text", n.alias("n"), *bits)
 
 
 def suggested_action(new: DataFrame, existing: DataFrame, method: str = "cosine") -> DataFrame:

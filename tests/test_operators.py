@@ -366,3 +366,13 @@ def test_actions_come_from_prefixes(spark):
     best = {r["id"]: r["s"] for r in new.alias("x").crossJoin(old.alias("y")).where("x.text is not null").groupBy("x.id").agg(F.max(F.round(dedup.similarity("cosine", F.col("x.text"), F.col("y.text")), 9)).alias("s")).collect()}
     act = lambda s: "skip" if s >= 0.95 else "merge" if s >= 0.85 else "save"
     assert {r["id"]: r["action"] for r in found.collect()} == {"none": "save"} | {k: act(v) for k, v in best.items()}
+
+
+def test_edit_distance_is_measured_on_near_pairs_only(spark):
+    texts = ["abcdefghijklmnopqrst", "abcdefghijXlmnopqrst", "bcdefghijklmnopqrstu", "klmnopqrstabcdefghij", "缓存索引缓存索引", "缓存索引缓存索", "a", "a", "ab", "", "aaaaaaaaaaaaaaaaaaaa", "aaaaaaaaaaaaaaaaaaab"]
+    d = spark.createDataFrame([(f"{i:02}", t) for i, t in enumerate(texts)], "id string, text string")
+    found = dedup.matches(d, d, 0.85, "levenshtein")
+    assert "bit_count" in found._jdf.queryExecution().executedPlan().toString()
+    x, y = d.alias("x"), d.alias("y")
+    want = x.crossJoin(y).select("x.id", "y.id", dedup.similarity("levenshtein", F.col("x.text"), F.col("y.text")).alias("s")).where("s >= 0.85").collect()
+    assert {tuple(r) for r in found.select("id", "match_id", "similarity").collect()} == {tuple(r) for r in want}
