@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,12 @@ METHODS = ("cosine", "jaccard", "levenshtein")
 BITMAP, HISTOGRAM = 4, 1 << 18
 #: Parts that the texts of a band of length are spread over.
 SPREAD = 4
+#: Rows of a block of either side at most, about, when only the best match is sought; the least number of pairs of blocks, and the least rows worth a block.
+BLOCK, PAIRED, WORTH = 98_304, 6, 2_048
+#: Pairs that are expanded, and pairs that are measured, at once; from LONG rows on, a posting list is read where it lies.
+EXPANDED, MEASURED, LONG = 1 << 19, 1 << 14, 128
+#: Digests that a task remembers so as to send a text once.
+SEEN = 1 << 17
 
 
 def exact_groups(df: DataFrame, text: str, key: str = "id") -> DataFrame:
@@ -151,6 +158,175 @@ def _prefix(tokens: DataFrame, rarity: np.ndarray, threshold: float, method: str
     return tokens.select("digest", F.transform("tokens", lambda x: F.xxhash64(x)).alias("hashes")).mapInArrow(run, schema)
 
 
+def best_cosine(new: DataFrame, existing: DataFrame, threshold: float) -> DataFrame:
+    """(digest, similarity): the highest cosine, from ``threshold`` on, that each distinct new text has with an existing one.
+
+    Nothing but tokens is shuffled: distinct tokens of a text as one long each (a hash
+    of 48 bits and the count), a text once for each block of the other side.  A pair
+    of blocks is measured in place, so neither texts nor pairs are shuffled.
+    """
+    n, m = existing.where("text is not null").count(), new.where("text is not null").count()
+    parts = max(1, -(-m // BLOCK))
+    held = max(1, -(-n // BLOCK), min(-(-PAIRED // parts), n // WORTH))
+    deal = lambda k: F.pmod(F.xxhash64("digest"), F.lit(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    a = _counted(new).select("digest", "tokens", (deal(parts) * held).alias("_q"), each(held).alias("_b")).select((F.col("_q") + F.col("_b")).alias("_g"), "digest", "tokens")
+    b = _counted(existing).select("tokens", deal(held).alias("_b"), each(parts).alias("_q")).select((F.col("_q") * held + F.col("_b")).alias("_g"), "tokens")
+    found = a.groupBy("_g").cogroup(b.groupBy("_g")).applyInArrow(lambda x, y: _best_of_block(x, y, threshold), "digest binary, similarity double")
+    return found.groupBy("digest").agg(F.max("similarity").alias("similarity"))
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    """(digest, tokens): each text with its distinct tokens as longs, hash above count; a task sends a text once, as far as it remembers."""
+
+    def run(batches):
+        seen: set[bytes] = set()
+        for t in batches:
+            digests = t["digest"].to_pylist()
+            fresh = []
+            for i, d in enumerate(digests):
+                if d not in seen:
+                    seen.add(d)
+                    fresh.append(i)
+            if len(seen) > SEEN:
+                seen.clear()
+            t = t.take(pa.array(fresh, pa.int64()))
+            values, at = blocks.lists(t["hashes"])
+            row, h, n = _counts(np.repeat(np.arange(t.num_rows), np.diff(at)), values.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(16))
+            # a count beyond 16 bits is dealt to several longs, which add up again
+            times = -(-n // 0xFFFF)
+            row, h, n = np.repeat(row, times), np.repeat(h, times), np.minimum(np.repeat(n, times) - 0xFFFF * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)), 0xFFFF)
+            tokens = pa.array(((h << np.uint64(16)) | n.astype(np.uint64)).view(np.int64))
+            ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=t.num_rows)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([t["digest"], pa.ListArray.from_arrays(pa.array(ends), tokens)], ["digest", "tokens"])
+
+    rows = df.where(F.col("text").isNotNull()).select(_digest().alias("digest"), F.transform(tx.dedup_tokens("text"), lambda x: F.xxhash64(x)).alias("hashes"))
+    return rows.mapInArrow(run, "digest binary, tokens array<long>")
+
+
+def _counts(row: np.ndarray, term: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, n): each term of each row once, with its count, or the sum of its ``n``."""
+    by = np.lexsort((term, row))
+    row, term = row[by], term[by]
+    head = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (term[1:] != term[:-1])))[: len(row)])
+    total = np.diff(np.append(head, len(row))) if n is None else np.add.reduceat(n[by], head) if len(head) else n
+    return row[head], term[head], total
+
+
+class _Side:
+    """Token counts of the texts of a block, terms coded by how common they are (0 the commonest), with norms, bitmaps and prefixes."""
+
+    def __init__(self, row: np.ndarray, code: np.ndarray, n: np.ndarray, rows: int, share: float):
+        by = np.lexsort((-code, row))  # rarest first
+        self.row, self.code, self.n = row[by], code[by], n[by]
+        self.at = np.searchsorted(self.row, np.arange(rows + 1))
+        mass = (self.n * self.n).astype(np.float64)
+        self.whole = np.bincount(self.row, mass, rows)
+        total = np.concatenate(([0.0], np.cumsum(mass)))
+        left = total[self.at[1:]][self.row] - total[:-1]
+        self.bits = np.zeros((BITMAP, rows), np.uint64)
+        bit = self.code % (64 * BITMAP)
+        np.bitwise_or.at(self.bits, (bit // 64, self.row), np.uint64(1) << (bit % 64).astype(np.uint64))
+        kept = left >= share * self.whole[self.row] - 1e-9
+        #: Of the prefix: rows, terms, and the share of the norm that is left from that term on.
+        self.head, self.term, self.left = self.row[kept], self.code[kept], (left / self.whole[self.row])[kept]
+
+
+def _best_of_block(new: pa.Table, existing: pa.Table, threshold: float) -> pa.Table:
+    """(digest, similarity): the best cosine of each text of ``new`` (digest, tokens) within ``existing`` (tokens), if it reaches the threshold.
+
+    Texts meet on prefixes (see ``class_matches``), and only where what is left of both
+    from the shared term on can make up the cosine.  A bit that one bitmap has and the
+    other lacks is a token lost: counted along the posting lists as they lie, then for
+    each side of the pairs left; what remains is measured on its tokens.
+    """
+    schema = pa.schema([("digest", pa.binary()), ("similarity", pa.float64())])
+    sides = []
+    for t in (new, existing):
+        values, at = blocks.lists(t["tokens"])
+        v = values.to_numpy(zero_copy_only=False).view(np.uint64)
+        sides.append(_counts(np.repeat(np.arange(t.num_rows, dtype=np.int32), np.diff(at)), v >> np.uint64(16), (v & np.uint64(0xFFFF)).astype(np.int64)))
+    (rx, hx, nx), (ry, hy, ny) = sides
+    if not len(rx) or not len(ry):
+        return schema.empty_table()
+    terms, code = np.unique(np.concatenate((hx, hy)), return_inverse=True)
+    cx, cy = code[: len(hx)], code[len(hx) :]
+    # terms of one side only come first in the prefixes, where they cost nothing
+    order = np.argsort(-(np.bincount(cx, minlength=len(terms)) * np.bincount(cy, minlength=len(terms))), kind="stable")
+    rank = np.empty(len(terms), np.int32)
+    rank[order] = np.arange(len(terms), dtype=np.int32)
+    share = threshold * threshold
+    x, y = _Side(rx, rank[cx], nx, new.num_rows, share), _Side(ry, rank[cy], ny, existing.num_rows, share)
+    del sides, rx, hx, nx, ry, hy, ny, cx, cy, code
+    by = np.lexsort((-y.left, y.term))
+    held, low = y.head[by], 2.0 * y.term[by] + (1.0 - y.left[by])
+    begin = np.searchsorted(y.term[by], x.term)
+    end = np.maximum(begin, np.searchsorted(low, 2.0 * x.term + (1.0 - share / x.left) + 1e-9, side="right"))
+    # lost shares of both sides add up to -2 ln(threshold) at most
+    bound = lambda whole: np.minimum(np.floor(-2 * math.log(threshold) * whole + 1e-6), 255).astype(np.uint8)
+    words, most, x_most = y.bits[:, held], bound(y.whole)[held], bound(x.whole)
+    best = np.zeros(new.num_rows)
+    pending: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def settle():
+        if pending:
+            p, q = (np.concatenate(c) for c in zip(*pending))
+            pending.clear()
+            p, q = _near(x, y, p, q, share)
+            pair = np.unique(p * np.int64(existing.num_rows) + q)
+            for at in range(0, len(pair), MEASURED):
+                p, q = np.divmod(pair[at : at + MEASURED], existing.num_rows)
+                np.maximum.at(best, p, _cosine(x, y, keys, len(terms), p, q))
+
+    keys = y.row * np.int64(len(terms)) + (len(terms) - 1 - y.code)
+    size = end - begin
+    short = np.flatnonzero((size > 0) & (size < LONG))
+    cuts = np.flatnonzero(np.diff(np.cumsum(size[short]) // EXPANDED, prepend=-1)) if len(short) else []
+    for part in np.split(short, cuts[1:]):
+        k = size[part]
+        place = np.repeat(begin[part] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        pending.append((np.repeat(x.head[part], k), held[place]))
+        settle()
+    waiting = 0
+    long = np.flatnonzero(size >= LONG)
+    for p, a, b in zip(x.head[long].tolist(), begin[long].tolist(), end[long].tolist()):
+        # a sum of 256 counts as 0 here, and is seen in settle()
+        lost = reduce(np.add, np.bitwise_count(words[:, a:b] ^ x.bits[:, p, None]))
+        near = np.flatnonzero(lost <= np.maximum(most[a:b], x_most[p]))
+        if len(near):
+            pending.append((np.full(len(near), p), held[a + near]))
+            waiting += len(near)
+            if waiting > EXPANDED:
+                settle()
+                waiting = 0
+    settle()
+    got = np.flatnonzero(best >= threshold - 1e-12)
+    return pa.table([new["digest"].take(pa.array(got)), pa.array(best[got])], schema=schema)
+
+
+def _near(x: _Side, y: _Side, p: np.ndarray, q: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows that may reach the threshold by the whole bitmaps."""
+    a, b = x.whole[p], y.whole[q]
+    lost, gone = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+    for i in range(BITMAP):
+        u, v = x.bits[i][p], y.bits[i][q]
+        lost += np.bitwise_count(u & ~v)
+        gone += np.bitwise_count(v & ~u)
+    near = np.flatnonzero((a - lost) * (b - gone) >= share * a * b - 1e-9)
+    return p[near], q[near]
+
+
+def _cosine(x: _Side, y: _Side, keys: np.ndarray, terms: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Cosines of pairs of rows; ``keys`` are y's rows and terms (of so many) in one number, ascending."""
+    size = x.at[p + 1] - x.at[p]
+    place = np.repeat(x.at[p] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    key = np.repeat(q, size) * np.int64(terms) + (terms - 1 - x.code[place])
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    product = np.where(keys[at] == key, x.n[place] * y.n[at], 0)
+    dot = np.add.reduceat(product, np.cumsum(size) - size)
+    return np.minimum(1.0, dot / (np.sqrt(x.whole[p]) * np.sqrt(y.whole[q])))
+
+
 def _by_length(new: DataFrame, existing: DataFrame, threshold: float) -> DataFrame:
     """At similarity t the shorter is at least t times as long as the longer: both fall into the same or neighbouring bands of log length.
 
@@ -181,7 +357,10 @@ def _with_bits(d: DataFrame) -> DataFrame:
 
 def suggested_action(new: DataFrame, existing: DataFrame, method: str = "cosine") -> DataFrame:
     """(id, similarity, action): skip from 0.95, merge from 0.85, else save."""
-    best = class_matches(new, existing, 0.85, method).groupBy("digest").agg(F.max("similarity").alias("similarity"))
+    if method in ("jaccard", "levenshtein"):
+        best = class_matches(new, existing, 0.85, method).groupBy("digest").agg(F.max("similarity").alias("similarity"))
+    else:
+        best = best_cosine(new, existing, 0.85)
     d = new.select("id", _digest().alias("digest")).distinct().join(best, "digest", "left")
     return d.select("id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.when(F.col("similarity") >= 0.95, "skip").when(F.col("similarity") >= 0.85, "merge").otherwise("save").alias("action"))
 

@@ -368,6 +368,30 @@ def test_actions_come_from_prefixes(spark):
     assert {r["id"]: r["action"] for r in found.collect()} == {"none": "save"} | {k: act(v) for k, v in best.items()}
 
 
+def test_actions_shuffle_neither_texts_nor_pairs(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    words = [f"w{i:02}" for i in range(60)] + ["the"] * 25
+    line = lambda n: [rng.choice(words) for _ in range(n)]
+    old = [line(rng.randint(1, 40)) for _ in range(300)]
+    changed = [[rng.choice(words) if rng.random() < 0.08 else w for w in rng.choice(old)] for _ in range(200)]
+    new = [*changed, *old[:20], *(line(rng.randint(1, 40)) for _ in range(40)), ["the"] * 70_000, ["!"], old[0]]
+    df = lambda rows: spark.createDataFrame([(f"{i:03}", " ".join(t)) for i, t in enumerate(rows)] + [("none", None)], "id string, text string")
+    a, b = df(new), df([*old, ["the"] * 5, old[0]])
+    # several blocks of either side, long and short posting lists
+    for name, value in (("BLOCK", 128), ("LONG", 4), ("WORTH", 50), ("EXPANDED", 1_000), ("MEASURED", 64)):
+        monkeypatch.setattr(dedup, name, value)
+    found = dedup.suggested_action(a, b)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and not any("Exchange" in above and "text#" in above for above in plan.split("\n"))
+    best = {f"{i:03}": max(dedup._token_similarity([w for w in t if len(w) > 1], u, "cosine") for u in [*old, ["the"] * 5]) for i, t in enumerate(new)}
+    act = lambda s: "skip" if s >= 0.95 else "merge" if s >= 0.85 else "save"
+    want = {k: (act(v), round(v, 9) if v >= 0.85 else 0.0) for k, v in best.items()} | {"none": ("save", 0.0)}
+    assert {r["id"]: (r["action"], round(r["similarity"], 9)) for r in found.collect()} == want
+    assert {a for a, _ in want.values()} == {"skip", "merge", "save"}
+
+
 def test_edit_distance_is_measured_on_near_pairs_only(spark):
     texts = ["abcdefghijklmnopqrst", "abcdefghijXlmnopqrst", "bcdefghijklmnopqrstu", "klmnopqrstabcdefghij", "缓存索引缓存索引", "缓存索引缓存索", "a", "a", "ab", "", "aaaaaaaaaaaaaaaaaaaa", "aaaaaaaaaaaaaaaaaaab"]
     d = spark.createDataFrame([(f"{i:02}", t) for i, t in enumerate(texts)], "id string, text string")
