@@ -341,6 +341,17 @@ def test_adaptation_of_gathered_plans(spark):
     assert got == {"p": ("marketing_strategy", 0, 0.75), "q": ("problem_solving", 1, 0.6)}
 
 
+def test_only_supported_problems_ask_memories(spark):
+    memories = spark.createDataFrame([("a", "营销 渠道选择", ["营销"], "insight"), ("b", "营销 only beta here", ["x"], None), ("c", None, None, None)], "id string, content string, tags array<string>, category string")
+    p = spark.createDataFrame([("p", "营销 推广"), ("q", "plain words"), ("r", "产品 beta"), ("s", None)], "problem_id string, problem string")
+    assert [r["problem_id"] for r in skills.supported(p, memories).collect()] == ["p"]
+    own = spark.createDataFrame([("product_optimization", 1, "alpha beta"), ("problem_solving", 1, "gamma")], "kind string, step_no int, step string")
+    assert [r["problem_id"] for r in skills.supported(p, memories, own).collect()] == ["r"]
+    for f in (None, own):
+        rows = lambda asked: sorted(map(str, skills.adaptation(p, skills.composed(p, skills.gathered(asked, memories), f)).collect()))  # noqa: E731, B023
+        assert rows(skills.supported(p, memories, f)) == rows(p)
+
+
 def _alike(spark):
     words = [f"w{i:02}" for i in range(40)]
     old = [(f"o{i:02}", " ".join(words[(i * 7 + j * j) % 40] for j in range(9))) for i in range(30)]
