@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +20,7 @@ from . import blocks
 METHODS = ("cosine", "jaccard", "levenshtein")
 #: Longs of a text's token bitmap, and counts of the histogram that orders tokens.
 BITMAP, HISTOGRAM = 4, 1 << 18
-#: Parts that the texts of a band of length are spread over.
-SPREAD = 4
-#: Rows of a block of either side at most, about, when only the best match is sought; the least number of pairs of blocks, and the least rows worth a block.
+#: Rows of a block of either side at most, about; the least number of pairs of blocks, and the least rows worth a block.
 BLOCK, PAIRED, WORTH = 98_304, 6, 2_048
 #: Pairs that are expanded, and pairs that are measured, at once; from LONG rows on, a posting list is read where it lies.
 EXPANDED, MEASURED, LONG = 1 << 19, 1 << 14, 128
@@ -58,6 +57,14 @@ def matches(new: DataFrame, existing: DataFrame, threshold: float = 0.85, method
     return out.join(right.select(F.col("digest").alias("match"), F.col("id").alias("match_id")), "match").select("id", "match_id", "similarity")
 
 
+def matches_within(df: DataFrame, threshold: float) -> DataFrame:
+    """(id, match_id, similarity): pairs of rows (id, text) with different ids whose edit similarity is ``threshold`` or more, the lesser id first."""
+    pairs, held = _by_length(df, None, threshold), _members(df)
+    out = pairs.join(held.select("digest", "id"), "digest").join(held.select(F.col("digest").alias("match"), F.col("id").alias("match_id")), "match")
+    same = F.col("digest") == F.col("match")
+    return out.where((F.col("id") < F.col("match_id")) | ~same & (F.col("id") > F.col("match_id"))).select(F.least("id", "match_id").alias("id"), F.greatest("id", "match_id").alias("match_id"), "similarity")
+
+
 def _digest() -> Column:
     return F.unhex(F.md5("text"))
 
@@ -80,8 +87,8 @@ def class_matches(new: DataFrame, existing: DataFrame, threshold: float, method:
     the vector's own, since those alone could not make up the cosine.  Bitmaps of the
     tokens bound what a pair can have in common, inside the join.  Only prefixes are
     shuffled, as hashes: rarity, which only has to order tokens alike on both sides,
-    comes from a histogram of fixed size.  Edit similarity meets within bands of
-    length.  Candidates are then measured exactly, on their tokens.
+    comes from a histogram of fixed size.  Edit similarity meets in pairs of blocks,
+    on lengths and bitmaps.  Candidates are then measured exactly, on their tokens.
     """
     a, b = _distinct(new), _distinct(existing)
     if method == "levenshtein":
@@ -327,32 +334,79 @@ def _cosine(x: _Side, y: _Side, keys: np.ndarray, terms: int, p: np.ndarray, q:
     return np.minimum(1.0, dot / (np.sqrt(x.whole[p]) * np.sqrt(y.whole[q])))
 
 
-def _by_length(new: DataFrame, existing: DataFrame, threshold: float) -> DataFrame:
-    """At similarity t the shorter is at least t times as long as the longer: both fall into the same or neighbouring bands of log length.
+def _by_length(new: DataFrame, existing: DataFrame | None, threshold: float) -> DataFrame:
+    """(digest, match, similarity): at similarity t the shorter is at least t times as long as the longer; ``existing`` None: pairs within ``new``, each once.
 
-    An edit takes away two pairs of neighbouring characters at most, so a bitmap of
-    these pairs bounds the distance before it is measured.  Bands are spread over SPREAD parts.
+    An edit takes away two pairs of neighbouring characters at most, so bitmaps of
+    these pairs bound the distance before it is measured.  Bitmaps only are dealt to
+    pairs of blocks; texts come back for the few pairs that are left.
     """
-    step = -math.log(threshold) if 0 < threshold < 1 else 1e-6
-    band = lambda c: F.floor(F.log(F.length(c).cast("double")) / step).cast("int")
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(SPREAD))
-    a = _with_bits(new.where(F.length("text") > 0)).withColumns({"_band": band("text"), "_part": part("digest")}).alias("x")
-    b = _with_bits(existing.where(F.length("text") > 0)).withColumn("_band", F.explode(F.array(band("text") - 1, band("text"), band("text") + 1)))
-    b = b.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint")))).alias("y")
-    m, n = F.col("x.n"), F.col("y.n")
-    lost = lambda p, q: sum((F.bit_count(F.col(f"{p}.b{i}").bitwiseAND(F.bitwise_not(F.col(f"{q}.b{i}")))) for i in range(BITMAP)), F.lit(0))
-    edits = F.floor((1 - threshold) * F.greatest(m, n) + 1e-9)
-    near = (F.least(m, n) >= threshold * F.greatest(m, n) - 1e-9) & (lost("x", "y") <= 2 * edits) & (lost("y", "x") <= 2 * edits)
-    d = a.join(b, (F.col("x._band") == F.col("y._band")) & (F.col("x._part") == F.col("y._part")) & near)
-    return d.select(F.col("x.digest").alias("digest"), F.col("y.digest").alias("match"), sim.edit_similarity(F.col("x.text"), F.col("y.text")).alias("similarity")).where(F.col("similarity") >= threshold)
+    within = existing is None
+    a = _distinct(new.where(F.length("text") > 0))
+    b = a if within else _distinct(existing.where(F.length("text") > 0))
+    rows = [d.where("text is not null").count() for d in ([new] if within else [new, existing])]
+    parts = max(1, -(-rows[0] // BLOCK), *([min(PAIRED, rows[0] // WORTH)] if within else []))
+    held = parts if within else max(1, -(-rows[1] // BLOCK), min(-(-PAIRED // parts), rows[1] // WORTH))
+    deal = lambda k: F.pmod(F.xxhash64("digest"), F.lit(k)).cast("int")
+    ones = sum((F.bit_count(f"b{i}") for i in range(BITMAP)), F.lit(0)).alias("ones")
+    bits = [f"b{i}" for i in range(BITMAP)]
+    group = (F.col("_q") * held + F.col("_b")).alias("_g")
+    x = _with_bits(a).withColumn("_q", deal(parts)).withColumn("_b", F.explode(F.sequence(F.col("_q") if within else F.lit(0), F.lit(held - 1))))
+    y = _with_bits(b).withColumn("_b", deal(held)).withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_b") if within else F.lit(parts - 1))))
+    x, y = (d.select(group, "digest", "n", ones, *bits, (F.lit(within) & (F.col("_q") == F.col("_b"))).alias("same")) for d in (x, y))
+    near = x.groupBy("_g").cogroup(y.groupBy("_g")).applyInArrow(lambda p, q: _near_lengths(p, q, threshold), "digest binary, match binary")
+    d = near.join(a, "digest").join(b.select(F.col("digest").alias("match"), F.col("text").alias("other")), "match")
+    return d.select("digest", "match", sim.edit_similarity(F.col("text"), F.col("other")).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def _near_lengths(new: pa.Table, existing: pa.Table, threshold: float) -> pa.Table:
+    """(digest, match): pairs of two blocks (digest, n, ones, bitmap, same) that may reach the threshold by length and bitmap; of one block with itself, each pair once."""
+    sides = []
+    for t in (new, existing):
+        t = t.sort_by("n")
+        n, ones = t["n"].to_numpy().astype(np.int64), t["ones"].to_numpy().astype(np.int64)
+        sides.append((t, n, ones, np.stack([t[f"b{i}"].to_numpy().view(np.uint64) for i in range(BITMAP)])))
+    (x, m, x_ones, x_bits), (y, n, y_ones, y_bits) = sides
+    edits = lambda length: np.floor((1 - threshold) * length + 1e-9).astype(np.int64)
+    begin = np.searchsorted(n, threshold * m - 1e-9)
+    end = np.searchsorted(n, (m + 1e-9) / threshold, side="right") if threshold > 0 else np.full(len(m), len(n))
+    longest = n[end - 1] if len(n) else n
+    # what a pair must share at least if its edits are those of the longest text in reach
+    least = x_ones - 2 * edits(np.maximum(m, longest)) if len(n) else x_ones
+    p_found, q_found = [], []
+    for p in np.flatnonzero(begin < end).tolist():
+        a, b = begin[p], end[p]
+        kind = np.uint8 if x_ones[p] < 256 else np.uint16
+        shared = reduce(np.add, (np.bitwise_count(y_bits[i, a:b] & x_bits[i, p]).astype(kind, copy=False) for i in range(BITMAP)))
+        q = a + (np.flatnonzero(shared >= least[p]) if least[p] > 0 else np.arange(b - a))
+        both, most = shared[q - a].astype(np.int64), 2 * edits(np.maximum(m[p], n[q]))
+        q = q[np.maximum(x_ones[p], y_ones[q]) - both <= most]
+        if len(q):
+            p_found.append(np.full(len(q), p))
+            q_found.append(q)
+    p, q = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (p_found, q_found))
+    found = pa.table({"digest": x["digest"].take(pa.array(p)), "match": y["digest"].take(pa.array(q))}, schema=pa.schema([("digest", pa.binary()), ("match", pa.binary())]))
+    if x.num_rows and x["same"][0].as_py():
+        found = found.filter(pc.less_equal(found["digest"], found["match"]))
+    return found
 
 
 def _with_bits(d: DataFrame) -> DataFrame:
-    """``d`` with the length of each text and a bitmap of its pairs of neighbouring characters."""
-    n = F.length("text")
-    places = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substring("text", i, 2)), F.lit(64 * BITMAP)).cast("int"))).otherwise(F.array().cast("array<int>"))
-    bits = [F.expr(f"aggregate(_places, 0L, (s, x) -> CASE WHEN x DIV 64 = {i} THEN s | shiftleft(1L, x % 64) ELSE s END)").alias(f"b{i}") for i in range(BITMAP)]
-    return d.withColumn("_places", places).select("digest", "text", n.alias("n"), *bits)
+    """(digest, n, bitmap): the length of each text (digest, text) and a bitmap of its pairs of neighbouring characters."""
+
+    def run(batches):
+        for t in batches:
+            texts = [x.encode("utf-32-le") for x in t["text"].to_pylist()]
+            n = np.array([len(x) // 4 for x in texts], np.int64)
+            c = np.frombuffer(b"".join(texts), np.uint32).astype(np.uint64)
+            row = np.repeat(np.arange(t.num_rows), n)
+            pair = np.flatnonzero(row[1:] == row[:-1])
+            bit = ((c[pair] << np.uint64(21) | c[pair + 1]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
+            bits = np.zeros((BITMAP, t.num_rows), np.uint64)
+            np.bitwise_or.at(bits, ((bit // np.uint64(64)).astype(np.int64), row[pair]), np.uint64(1) << (bit % np.uint64(64)))
+            yield pa.RecordBatch.from_arrays([t["digest"], pa.array(n.astype(np.int32)), *(pa.array(w.view(np.int64)) for w in bits)], ["digest", "n", *(f"b{i}" for i in range(BITMAP))])
+
+    return d.select("digest", "text").mapInArrow(run, "digest binary, n int, " + ", ".join(f"b{i} long" for i in range(BITMAP)))
 
 
 def suggested_action(new: DataFrame, existing: DataFrame, method: str = "cosine") -> DataFrame:

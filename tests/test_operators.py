@@ -411,3 +411,24 @@ def test_edit_distance_is_measured_on_near_pairs_only(spark):
     x, y = d.alias("x"), d.alias("y")
     want = x.crossJoin(y).select("x.id", "y.id", dedup.similarity("levenshtein", F.col("x.text"), F.col("y.text")).alias("s")).where("s >= 0.85").collect()
     assert {tuple(r) for r in found.select("id", "match_id", "similarity").collect()} == {tuple(r) for r in want}
+
+
+def test_edit_distance_meets_in_pairs_of_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(7)
+    line = lambda n: "".join(rng.choice("abcdefgh 缓存索引😀") for _ in range(n))
+    old = [line(rng.randint(1, 60)) for _ in range(120)] + [line(900), "a", "b", "", None]
+    changed = ["".join(rng.choice("xyz") if rng.random() < 0.06 else c for c in rng.choice(old[:121])) for _ in range(120)]
+    rows = [(f"{i:03}", t) for i, t in enumerate([*old, *changed, *old[:15], changed[0], old[120][3:] + "xyz"])] + [("000", old[5]), (None, old[6])]
+    d = spark.createDataFrame(rows, "id string, text string")
+    monkeypatch.setattr(dedup, "BLOCK", 60)
+    found = dedup.matches_within(d, 0.8)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and not any("Exchange" in above and "_band" in above for above in plan.split("\n"))
+    x, y = d.alias("x"), d.alias("y")
+    want = x.join(y, F.col("x.id") < F.col("y.id")).select("x.id", "y.id", dedup.similarity("levenshtein", F.col("x.text"), F.col("y.text")).alias("s")).where("s >= 0.8").collect()
+    assert len(want) > 60 and sorted(map(tuple, found.collect())) == sorted(map(tuple, want))
+    a, b = d.where("id < '100'"), d.where("id >= '100'")
+    want = a.alias("x").crossJoin(b.alias("y")).select("x.id", "y.id", dedup.similarity("levenshtein", F.col("x.text"), F.col("y.text")).alias("s")).where("s >= 0.8").collect()
+    assert want and sorted(map(tuple, dedup.matches(a, b, 0.8, "levenshtein").collect())) == sorted(map(tuple, want))
