@@ -50,9 +50,11 @@ def similarity(method: str, a: Column, b: Column) -> Column:
 
 
 def matches(new: DataFrame, existing: DataFrame, threshold: float = 0.85, method: str = "cosine") -> DataFrame:
-    """(id, match_id, similarity): pairs of new and existing rows (id, text) at ``threshold`` or more."""
+    """(id, match_id, similarity): pairs of new and existing rows (id, text) at ``threshold`` or more; by cosine, rows that came again are one."""
     pairs = class_matches(new, existing, threshold, method)
     left, right = _members(new), _members(existing)
+    if method not in METHODS[1:]:
+        left, right = left.distinct(), right.distinct()
     out = pairs.join(left.select(F.col("digest"), "id"), "digest")
     return out.join(right.select(F.col("digest").alias("match"), F.col("id").alias("match_id")), "match").select("id", "match_id", "similarity")
 
@@ -85,23 +87,16 @@ def class_matches(new: DataFrame, existing: DataFrame, threshold: float, method:
     one of the |A| - ceil(t |A|) + 1 rarest of each; two count vectors at cosine t
     share a token outside the commonest ones whose squares sum to under t squared of
     the vector's own, since those alone could not make up the cosine.  Bitmaps of the
-    tokens bound what a pair can have in common, inside the join.  Only prefixes are
-    shuffled, as hashes: rarity, which only has to order tokens alike on both sides,
-    comes from a histogram of fixed size.  Edit similarity meets in pairs of blocks,
-    on lengths and bitmaps.  Candidates are then measured exactly, on their tokens.
+    tokens bound what a pair can have in common.  Jaccard joins prefixes, shuffled as
+    hashes: rarity, which only has to order tokens alike on both sides, comes from a
+    histogram of fixed size.  Cosine meets in pairs of blocks, on hashes of the tokens;
+    edit similarity does so on lengths and bitmaps.  Candidates are then measured
+    exactly, on their tokens.
     """
     a, b = _distinct(new), _distinct(existing)
     if method == "levenshtein":
         return _by_length(a, b, threshold)
-    tokens = lambda d: d.select("digest", tx.dedup_tokens("text").alias("tokens"))
-    all_ = new.select("text").unionByName(existing.select("text")).where("text is not null")
-    place = F.pmod(F.xxhash64("term"), F.lit(HISTOGRAM)).cast("int")
-    got = all_.select(F.explode(F.array_distinct(tx.dedup_tokens("text"))).alias("term")).groupBy(place.alias("place")).agg(F.count("*").alias("n")).toArrow()
-    rarity = np.zeros(HISTOGRAM, np.int64)
-    rarity[got["place"].to_numpy()] = got["n"].to_numpy()
-    x, y = _prefix(tokens(a), rarity, threshold, method).alias("x"), _prefix(tokens(b), rarity, threshold, method).alias("y")
-    pairs = x.join(y, (F.col("x.term") == F.col("y.term")) & _may_reach(threshold, method)).select(F.col("x.digest").alias("digest"), F.col("y.digest").alias("match")).distinct()
-    both = pairs.join(tokens(a), "digest").join(tokens(b).select(F.col("digest").alias("match"), F.col("tokens").alias("others")), "match")
+    both = _sharing(new, existing, a, b, threshold) if method == "jaccard" else _near_counts(new, existing, a, b, threshold)
 
     def measured(batches):
         for t in batches:
@@ -111,6 +106,27 @@ def class_matches(new: DataFrame, existing: DataFrame, threshold: float, method:
     return both.select("digest", "match", "tokens", "others").mapInArrow(measured, "digest binary, match binary, similarity double").where(F.col("similarity") >= threshold - 1e-12)
 
 
+def _near_counts(new: DataFrame, existing: DataFrame, a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """(digest, match, tokens, others): pairs of ``a`` and ``b`` whose cosine, by hashes of the tokens, reaches the threshold."""
+    x, y = _paired(new, existing, "digest", "tokens")
+    pairs = x.cogroup(y).applyInArrow(lambda p, q: _pairs_of_block(p, q, threshold), "digest binary, match binary")
+    both = pairs.join(a, "digest").join(b.select(F.col("digest").alias("match"), F.col("text").alias("other")), "match")
+    return both.select("digest", "match", tx.dedup_tokens("text").alias("tokens"), tx.dedup_tokens("other").alias("others"))
+
+
+def _sharing(new: DataFrame, existing: DataFrame, a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """(digest, match, tokens, others): pairs of ``a`` and ``b`` that share a token of their prefixes and may reach the threshold of Jaccard."""
+    tokens = lambda d: d.select("digest", tx.dedup_tokens("text").alias("tokens"))
+    all_ = new.select("text").unionByName(existing.select("text")).where("text is not null")
+    place = F.pmod(F.xxhash64("term"), F.lit(HISTOGRAM)).cast("int")
+    got = all_.select(F.explode(F.array_distinct(tx.dedup_tokens("text"))).alias("term")).groupBy(place.alias("place")).agg(F.count("*").alias("n")).toArrow()
+    rarity = np.zeros(HISTOGRAM, np.int64)
+    rarity[got["place"].to_numpy()] = got["n"].to_numpy()
+    x, y = _prefix(tokens(a), rarity, threshold).alias("x"), _prefix(tokens(b), rarity, threshold).alias("y")
+    pairs = x.join(y, (F.col("x.term") == F.col("y.term")) & _may_reach(threshold)).select(F.col("x.digest").alias("digest"), F.col("y.digest").alias("match")).distinct()
+    return pairs.join(tokens(a), "digest").join(tokens(b).select(F.col("digest").alias("match"), F.col("tokens").alias("others")), "match")
+
+
 def _token_similarity(a: list[str], b: list[str], method: str) -> float:
     """Jaccard or cosine of two token lists."""
     x, y = Counter(a), Counter(b)
@@ -121,19 +137,15 @@ def _token_similarity(a: list[str], b: list[str], method: str) -> float:
     return min(1.0, sum(n * y[t] for t, n in x.items()) / norm) if norm else 0.0
 
 
-def _may_reach(threshold: float, method: str) -> Column:
-    """Upper bound of a pair's similarity: every bit of one bitmap that the other lacks is a token (of count 1 or more) they don't share."""
+def _may_reach(threshold: float) -> Column:
+    """Upper bound of a pair's Jaccard: every bit of one bitmap that the other lacks is a token they don't share."""
     shared = sum((F.bit_count(F.col(f"x.b{i}").bitwiseAND(F.col(f"y.b{i}"))) for i in range(BITMAP)), F.lit(0))
-    a, b = F.col("x.spare") + shared, F.col("y.spare") + shared
-    if method == "jaccard":
-        common = F.least(a, b)
-        return common >= threshold * (F.col("x.all") + F.col("y.all") - common) - 1e-9
-    return a * b >= threshold * threshold * F.col("x.all") * F.col("y.all") - 1e-9
+    common = F.least(F.col("x.spare") + shared, F.col("y.spare") + shared)
+    return common >= threshold * (F.col("x.all") + F.col("y.all") - common) - 1e-9
 
 
-def _prefix(tokens: DataFrame, rarity: np.ndarray, threshold: float, method: str) -> DataFrame:
+def _prefix(tokens: DataFrame, rarity: np.ndarray, threshold: float) -> DataFrame:
     """(digest, term, all, spare, bitmap): hashes of the rarest tokens of each text (digest, tokens) that a pair at the threshold must share one of; ``spare`` is ``all`` less the bits that are set."""
-    share = threshold if method == "jaccard" else threshold * threshold
 
     def run(batches):
         for t in batches:
@@ -145,9 +157,8 @@ def _prefix(tokens: DataFrame, rarity: np.ndarray, threshold: float, method: str
             by = np.lexsort((h, row))
             row, h = row[by], h[by]
             head = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (h[1:] != h[:-1]))))
-            n = np.diff(np.append(head, len(h)))
             row, h = row[head], h[head]
-            w = np.ones(len(n)) if method == "jaccard" else (n * n).astype(np.float64)
+            w = np.ones(len(head))
             whole = np.bincount(row, w, t.num_rows)
             bits = np.zeros((t.num_rows, BITMAP), np.uint64)
             bit = h % (64 * BITMAP)
@@ -157,7 +168,7 @@ def _prefix(tokens: DataFrame, rarity: np.ndarray, threshold: float, method: str
             by = np.lexsort((h, -rarity[h % HISTOGRAM], row))
             row, h, w = row[by], h[by], w[by]
             total = np.cumsum(w)
-            kept = total - np.concatenate(([0.0], np.cumsum(whole)))[row] >= share * whole[row] - 1e-9
+            kept = total - np.concatenate(([0.0], np.cumsum(whole)))[row] >= threshold * whole[row] - 1e-9
             row, h = row[kept], h[kept]
             yield pa.RecordBatch.from_arrays([t["digest"].take(pa.array(row)), pa.array(h), pa.array(whole[row]), pa.array(spare[row]), *(pa.array(bits[row, i].view(np.int64)) for i in range(BITMAP))], ["digest", "term", "all", "spare", *(f"b{i}" for i in range(BITMAP))])
 
@@ -172,15 +183,21 @@ def best_cosine(new: DataFrame, existing: DataFrame, threshold: float) -> DataFr
     of 48 bits and the count), a text once for each block of the other side.  A pair
     of blocks is measured in place, so neither texts nor pairs are shuffled.
     """
+    x, y = _paired(new, existing, "tokens")
+    found = x.cogroup(y).applyInArrow(lambda p, q: _best_of_block(p, q, threshold), "digest binary, similarity double")
+    return found.groupBy("digest").agg(F.max("similarity").alias("similarity"))
+
+
+def _paired(new: DataFrame, existing: DataFrame, *held_columns: str):
+    """Both sides (digest, tokens), of ``existing`` the given columns, grouped by pairs of blocks; each text once for each block of the other side."""
     n, m = existing.where("text is not null").count(), new.where("text is not null").count()
     parts = max(1, -(-m // BLOCK))
     held = max(1, -(-n // BLOCK), min(-(-PAIRED // parts), n // WORTH))
     deal = lambda k: F.pmod(F.xxhash64("digest"), F.lit(k)).cast("int")
     each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     a = _counted(new).select("digest", "tokens", (deal(parts) * held).alias("_q"), each(held).alias("_b")).select((F.col("_q") + F.col("_b")).alias("_g"), "digest", "tokens")
-    b = _counted(existing).select("tokens", deal(held).alias("_b"), each(parts).alias("_q")).select((F.col("_q") * held + F.col("_b")).alias("_g"), "tokens")
-    found = a.groupBy("_g").cogroup(b.groupBy("_g")).applyInArrow(lambda x, y: _best_of_block(x, y, threshold), "digest binary, similarity double")
-    return found.groupBy("digest").agg(F.max("similarity").alias("similarity"))
+    b = _counted(existing).select(*held_columns, deal(held).alias("_b"), each(parts).alias("_q")).select((F.col("_q") * held + F.col("_b")).alias("_g"), *held_columns)
+    return a.groupBy("_g"), b.groupBy("_g")
 
 
 def _counted(df: DataFrame) -> DataFrame:
@@ -240,14 +257,30 @@ class _Side:
 
 
 def _best_of_block(new: pa.Table, existing: pa.Table, threshold: float) -> pa.Table:
-    """(digest, similarity): the best cosine of each text of ``new`` (digest, tokens) within ``existing`` (tokens), if it reaches the threshold.
+    """(digest, similarity): the best cosine of each text of ``new`` (digest, tokens) within ``existing`` (tokens), if it reaches the threshold."""
+    best = np.zeros(new.num_rows)
+    for p, _, value in _measured_of_block(new, existing, threshold):
+        np.maximum.at(best, p, value)
+    got = np.flatnonzero(best >= threshold - 1e-12)
+    return pa.table([new["digest"].take(pa.array(got)), pa.array(best[got])], schema=pa.schema([("digest", pa.binary()), ("similarity", pa.float64())]))
+
+
+def _pairs_of_block(new: pa.Table, existing: pa.Table, threshold: float) -> pa.Table:
+    """(digest, match): pairs of texts of ``new`` and ``existing`` (digest, tokens) whose cosine reaches the threshold, each once."""
+    new, existing = (t.take(pa.array(np.unique(t["digest"].combine_chunks().dictionary_encode().indices.to_numpy(), return_index=True)[1])) if t.num_rows else t for t in (new, existing))
+    found = [(p[near], q[near]) for p, q, value in _measured_of_block(new, existing, threshold) if len(near := np.flatnonzero(value >= threshold - 1e-9))]
+    p, q = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return pa.table([new["digest"].take(pa.array(p)), existing["digest"].take(pa.array(q))], schema=pa.schema([("digest", pa.binary()), ("match", pa.binary())]))
+
+
+def _measured_of_block(new: pa.Table, existing: pa.Table, threshold: float):
+    """Rows of ``new`` and of ``existing``, and their cosines, in arrays: every pair that reaches the threshold, and others.
 
     Texts meet on prefixes (see ``class_matches``), and only where what is left of both
     from the shared term on can make up the cosine.  A bit that one bitmap has and the
     other lacks is a token lost: counted along the posting lists as they lie, then for
     each side of the pairs left; what remains is measured on its tokens.
     """
-    schema = pa.schema([("digest", pa.binary()), ("similarity", pa.float64())])
     sides = []
     for t in (new, existing):
         values, at = blocks.lists(t["tokens"])
@@ -255,7 +288,7 @@ def _best_of_block(new: pa.Table, existing: pa.Table, threshold: float) -> pa.Ta
         sides.append(_counts(np.repeat(np.arange(t.num_rows, dtype=np.int32), np.diff(at)), v >> np.uint64(16), (v & np.uint64(0xFFFF)).astype(np.int64)))
     (rx, hx, nx), (ry, hy, ny) = sides
     if not len(rx) or not len(ry):
-        return schema.empty_table()
+        return
     terms, code = np.unique(np.concatenate((hx, hy)), return_inverse=True)
     cx, cy = code[: len(hx)], code[len(hx) :]
     # terms of one side only come first in the prefixes, where they cost nothing
@@ -272,7 +305,6 @@ def _best_of_block(new: pa.Table, existing: pa.Table, threshold: float) -> pa.Ta
     # lost shares of both sides add up to -2 ln(threshold) at most
     bound = lambda whole: np.minimum(np.floor(-2 * math.log(threshold) * whole + 1e-6), 255).astype(np.uint8)
     words, most, x_most = y.bits[:, held], bound(y.whole)[held], bound(x.whole)
-    best = np.zeros(new.num_rows)
     pending: list[tuple[np.ndarray, np.ndarray]] = []
 
     def settle():
@@ -283,7 +315,7 @@ def _best_of_block(new: pa.Table, existing: pa.Table, threshold: float) -> pa.Ta
             pair = np.unique(p * np.int64(existing.num_rows) + q)
             for at in range(0, len(pair), MEASURED):
                 p, q = np.divmod(pair[at : at + MEASURED], existing.num_rows)
-                np.maximum.at(best, p, _cosine(x, y, keys, len(terms), p, q))
+                yield p, q, _cosine(x, y, keys, len(terms), p, q)
 
     keys = y.row * np.int64(len(terms)) + (len(terms) - 1 - y.code)
     size = end - begin
@@ -293,7 +325,7 @@ def _best_of_block(new: pa.Table, existing: pa.Table, threshold: float) -> pa.Ta
         k = size[part]
         place = np.repeat(begin[part] - (np.cumsum(k) - k), k) + np.arange(k.sum())
         pending.append((np.repeat(x.head[part], k), held[place]))
-        settle()
+        yield from settle()
     waiting = 0
     long = np.flatnonzero(size >= LONG)
     for p, a, b in zip(x.head[long].tolist(), begin[long].tolist(), end[long].tolist()):
@@ -304,11 +336,9 @@ def _best_of_block(new: pa.Table, existing: pa.Table, threshold: float) -> pa.Ta
             pending.append((np.full(len(near), p), held[a + near]))
             waiting += len(near)
             if waiting > EXPANDED:
-                settle()
+                yield from settle()
                 waiting = 0
-    settle()
-    got = np.flatnonzero(best >= threshold - 1e-12)
-    return pa.table([new["digest"].take(pa.array(got)), pa.array(best[got])], schema=schema)
+    yield from settle()
 
 
 def _near(x: _Side, y: _Side, p: np.ndarray, q: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:

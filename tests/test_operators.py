@@ -432,3 +432,24 @@ def test_edit_distance_meets_in_pairs_of_blocks(spark, monkeypatch):
     a, b = d.where("id < '100'"), d.where("id >= '100'")
     want = a.alias("x").crossJoin(b.alias("y")).select("x.id", "y.id", dedup.similarity("levenshtein", F.col("x.text"), F.col("y.text")).alias("s")).where("s >= 0.8").collect()
     assert want and sorted(map(tuple, dedup.matches(a, b, 0.8, "levenshtein").collect())) == sorted(map(tuple, want))
+
+
+def test_cosine_pairs_come_from_pairs_of_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(11)
+    words = [f"w{i:02}" for i in range(60)] + ["the"] * 25
+    line = lambda n: [rng.choice(words) for _ in range(n)]
+    old = [line(rng.randint(1, 40)) for _ in range(200)] + [["the"] * 5]
+    new = [*([rng.choice(words) if rng.random() < 0.08 else w for w in rng.choice(old)] for _ in range(120)), *old[:20], ["!"], ["the"] * 70_000]
+    df = lambda texts: spark.createDataFrame([(f"{i:03}", " ".join(t)) for i, t in enumerate(texts)] + [("none", None)], "id string, text string")
+    a, b = df(new), df([*old, *old[:9]])
+    a, b = a.unionByName(a.limit(30)), b.unionByName(b.limit(30))  # rows that came again
+    for name, value in (("BLOCK", 64), ("LONG", 4), ("WORTH", 50), ("EXPANDED", 1_000), ("MEASURED", 64)):
+        monkeypatch.setattr(dedup, name, value)
+    found = dedup.matches(a, b, 0.85, "cosine")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and not any("Exchange" in above and "term#" in above for above in plan.split("\n"))
+    value = lambda t, u: dedup._token_similarity([w for w in t if len(w) > 1], u, "cosine")
+    want = sorted((f"{i:03}", f"{j:03}", round(s, 9)) for i, t in enumerate(new) for j, u in enumerate([*old, *old[:9]]) if (s := value(t, u)) >= 0.85 - 1e-12)
+    assert len(want) > 100 and sorted((r["id"], r["match_id"], round(r["similarity"], 9)) for r in found.collect()) == want
